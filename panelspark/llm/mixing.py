@@ -108,3 +108,26 @@ def mix(df: DataFrame) -> DataFrame:
     took = pieces(placed, blocks).groupBy("nth", "shard", "row").agg(F.sum((F.col("past") - F.col("first")) * F.col("times")).alias("took"))
     out = placed.join(took, ["nth", "shard", "row"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("took", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_texts(df: DataFrame) -> DataFrame:
+    """df's rows as the mix takes them: one row per pass, whose text is the words taken in it, as they stood.
+
+    A pass that takes every word keeps the text as it is; neighbouring blocks keep what stands between them, others are
+    joined by a line break. Documents without words have nothing to take and go. Rows that repeat a doc_id must be one
+    row before (keep_first sees to that); here they would each get the first one's share.
+    """
+    placed, blocks = plan(df)
+    cut = pieces(placed, blocks).where("times > 0").join(placed.select("nth", "shard", "row", F.col("doc_id").alias("_id"), "size"), ["nth", "shard", "row"])
+    passes = cut.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    spans = passes.groupBy("_id", "size", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "past"))).alias("spans"))
+    spans = spans.withColumn("all", F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x.past - x["first"]) == F.col("size")).groupBy("_id").agg(F.collect_list(F.struct("pass", "all", "spans")).alias("_passes"))
+    spans = store(df.sparkSession, spans, "mix-spans")
+    out = df.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).drop("_id")
+    out = out.withColumn("_pass", F.explode("_passes")).drop("_passes")
+    whole = F.when(F.col("_pass")["all"], F.col("text"))
+    # Words with what follows each, up to the next word; a span is a slice of them.
+    words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    glued = F.aggregate(F.col("_pass")["spans"], F.array().cast("array<struct<first:bigint,past:bigint>>"), lambda got, x: F.when((F.size(got) > 0) & (F.element_at(got, -1)["past"] == x["first"]), F.concat(F.slice(got, 1, F.size(got) - 1), F.array(F.struct(F.element_at(got, -1)["first"].alias("first"), x["past"].alias("past"))))).otherwise(F.concat(got, F.array(F.struct(x["first"].alias("first"), x["past"].alias("past"))))))
+    part = F.array_join(F.transform(glued, lambda x: F.array_join(F.slice(words, (x["first"] + 1).cast("int"), (x["past"] - x["first"]).cast("int")), "")), "\n")
+    return out.withColumn("text", F.coalesce(whole, F.rtrim(part))).drop("_pass")

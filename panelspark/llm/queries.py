@@ -22,12 +22,25 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_texts(table(spark, sf_dir, "documents"))
 
 
+def op2_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.probminhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.bpe import encode_documents
 
     return encode_documents(table(spark, sf_dir, "documents"), bpe_path())
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.toxicity import fit, score_texts
+
+    docs = table(spark, sf_dir, "documents")
+    return score_texts(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.lines import dedup_lines
 
@@ -48,7 +61,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op3_bpe, op7_lines, op8_ctph, op9_mixing)}
+    return {f.__name__: f for f in (op1_media, op2_probminhash, op3_bpe, op4_toxicity, op7_lines, op8_ctph, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
