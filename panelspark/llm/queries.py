@@ -60,8 +60,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.suffix import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_probminhash, op3_bpe, op4_toxicity, op7_lines, op8_ctph, op9_mixing)}
+    return {f.__name__: f for f in (op1_media, op2_probminhash, op3_bpe, op4_toxicity, op7_lines, op8_ctph, op9_mixing, op10_suffix)}
 
 
 def oracle_sql() -> dict[str, str]:
