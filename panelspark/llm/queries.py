@@ -41,6 +41,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.lines import dedup_lines
 
@@ -67,7 +79,7 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_probminhash, op3_bpe, op4_toxicity, op7_lines, op8_ctph, op9_mixing, op10_suffix)}
+    return {f.__name__: f for f in (op1_media, op2_probminhash, op3_bpe, op4_toxicity, op5_licenses, op6_passages, op7_lines, op8_ctph, op9_mixing, op10_suffix)}
 
 
 def oracle_sql() -> dict[str, str]:
