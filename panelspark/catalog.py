@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelspark.registry import factors
+
+REGISTRIES = [factors]
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     raise NotImplementedError
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for registry in REGISTRIES for name, query in registry.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for registry in REGISTRIES for name, text in registry.oracle_sql().items()}
