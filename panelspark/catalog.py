@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.registry import factors
+from panelspark.registry import cross, factors
 
-REGISTRIES = [factors]
+REGISTRIES = [factors, cross]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
