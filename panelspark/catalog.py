@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.registry import cross, factors
+from panelspark.registry import cross, factors, validation
 
-REGISTRIES = [factors, cross]
+REGISTRIES = [factors, cross, validation]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
