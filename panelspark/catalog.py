@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.registry import cross, factors, validation
+from panelspark.registry import cross, data, factors, validation
 
-REGISTRIES = [factors, cross, validation]
+REGISTRIES = [factors, cross, validation, data]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
