@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.registry import cross, data, factors, validation
+from panelspark.functions.base_factors import FACTORS
+from panelspark.operators.evaluation import rank_ic
+from panelspark.plans.planner import Plan
+from panelspark.registry import cross, data, factors, live, validation
+from panelspark.sources import tables
 
-REGISTRIES = [factors, cross, validation, data]
+REGISTRIES = [factors, cross, validation, data, live]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Rank IC of momentum by quarter: scan, bars, windows along items, ranks across dates, two aggregations."""
+    p = Plan({"momentum_5": FACTORS["momentum_5"], "target_8d": FACTORS["target_8d"]}).apply(tables.quarter_panel(spark, sf_dir))
+    return rank_ic(p, ["momentum_5"], "target_8d")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
