@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are lower-cased words and their beginnings of 4, 5 and 6 letters, as insults are inflected. Of the labelled examples
+Terms are lower-cased words and their beginnings of 4 to 8 letters, as insults are inflected. Of the labelled examples
 (a hashed sample of at most about MAX_EXAMPLES, so fitting costs the same at any size), those terms are kept that toxic
-ones hold far more often (G-test). Examples and documents are TF-IDF vectors over the kept terms, of length 1.
+ones hold far more often (odds LIFT times as high at least, and a G-test). Examples and documents are TF-IDF vectors over the kept terms, of length 1.
 The examples' index has a posting list for each term, cut into blocks of BLOCK examples whose largest weight is
 kept; a query bounds each block by these, takes blocks by falling bound, and stops once no bound reaches the K-th best
 cosine: exact, ties of the K-th included. Votes weigh by the cosine's square, lean on the share of toxic examples, and are
@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.common import arrow_map, documents, store
 
-MAX_EXAMPLES, K, BLOCK, MIN_DF, MIN_G, LIFT, MAX_TERMS, LEAN = 12_000, 15, 64, 6, 16.0, 3.0, 4096, 0.25
+MAX_EXAMPLES, K, BLOCK, MIN_DF, MIN_G, LIFT, MAX_TERMS, LEAN = 12_000, 15, 64, 4, 16.0, 4.0, 4096, 0.25
 WORD = regex.compile(r"[^\W\d_]+")
+STEMS = (4, 5, 6, 7, 8)
 KEPT = 300_000
 
 
 def forms(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) > n)]
+    return [word, *(word[:n] + "*" for n in STEMS if len(word) > n)]
 
 
 class Terms(dict):
@@ -175,7 +176,7 @@ def fit(df: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model:
     size, bad = examples.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not size:
         return Model({}, np.zeros(0), [], [], [])
-    stats = examples.mapInArrow(tally, "term string, n long, t long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(f"n >= {MIN_DF} AND t * {size} >= {LIFT} * n * {bad} AND t > 0")
+    stats = examples.mapInArrow(tally, "term string, n long, t long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(f"n >= {MIN_DF} AND t * {size - bad} >= {LIFT} * (n - t) * {bad} AND t > 0")
 
     def part(x, of, rate):
         return F.when(x > 0, x * F.ln(x / (of * rate))).otherwise(0.0)
