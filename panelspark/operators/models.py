@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.operators import evaluation, splits
-from panelspark.operators.cross import average_rank, X
+from panelspark.operators.cross import X, average_rank
 from panelspark.plans.expr import DATE, ITEM
 
 
@@ -138,7 +138,7 @@ def sample_rows(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFr
 
 def inference_table(scored: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Scores of a date with percentile ranks and names, best first."""
-    n = F.count("score").over(X)
+    n = F.count("score").over(X())
     out = scored.withColumn("rank_pct", average_rank("score") / n)
     if names is not None:
         out = out.join(names, ITEM, "left").withColumn("name", F.coalesce("name", ITEM))

@@ -169,20 +169,30 @@ def rounded(x, digits: int = 10) -> E:
 
 # Windows along an item's dates.
 
-_T = Window.partitionBy(ITEM).orderBy(DATE)
+
+
+def _t():
+    """Made when a plan is: a window needs a session, a tree does not."""
+    return Window.partitionBy(ITEM).orderBy(DATE)
+
+
+def _x():
+    return Window.partitionBy(DATE)
+
+
 _T_SQL = f"PARTITION BY {ITEM} ORDER BY {DATE}"
 
 
 def _frame(n: int):
-    return _T.rowsBetween(-(n - 1), 0), f"({_T_SQL} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return lambda: _t().rowsBetween(-(n - 1), 0), f"({_T_SQL} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
 
 def lag(x, k: int = 1) -> E:
-    return make("lag", "T", lambda v: F.lag(v, k).over(_T), lambda v: f"lag({v}, {k}) OVER ({_T_SQL})", x, extra=(k,))
+    return make("lag", "T", lambda v: F.lag(v, k).over(_t()), lambda v: f"lag({v}, {k}) OVER ({_T_SQL})", x, extra=(k,))
 
 
 def lead(x, k: int = 1) -> E:
-    return make("lead", "T", lambda v: F.lead(v, k).over(_T), lambda v: f"lead({v}, {k}) OVER ({_T_SQL})", x, extra=(k,))
+    return make("lead", "T", lambda v: F.lead(v, k).over(_t()), lambda v: f"lead({v}, {k}) OVER ({_T_SQL})", x, extra=(k,))
 
 
 def delta(x, k: int = 1) -> E:
@@ -214,10 +224,11 @@ _ROLLS: dict[str, tuple[Callable, str]] = {
 def roll(kind: str, x, n: int, least: int | None = None) -> E:
     """An aggregate of the last n rows, given `least` values among them (n, unless said)."""
     least = n if least is None else max(1, least)
-    w, w_sql = _frame(n)
+    frame, w_sql = _frame(n)
     fn, name = _ROLLS[kind]
 
     def column(v: Column) -> Column:
+        w = frame()
         out = F.when(F.count(v).over(w) >= least, fn(v, w))
         return F.when(F.min(v).over(w) == F.max(v).over(w), F.when(F.count(v).over(w) >= max(least, 1 + (kind == "std1")), F.lit(0.0))).otherwise(out) if kind in ("std0", "std1") else out
 
@@ -231,8 +242,7 @@ def roll(kind: str, x, n: int, least: int | None = None) -> E:
 
 
 def cumsum(x) -> E:
-    w = _T.rowsBetween(Window.unboundedPreceding, 0)
-    return make("cumsum", "T", lambda v: F.sum(v).over(w), lambda v: f"sum({v}) OVER ({_T_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", x)
+        return make("cumsum", "T", lambda v: F.sum(v).over(_t().rowsBetween(Window.unboundedPreceding, 0)), lambda v: f"sum({v}) OVER ({_T_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", x)
 
 
 def _pair(x: Column, y: Column) -> tuple[Column, Column]:
@@ -243,9 +253,10 @@ def _pair(x: Column, y: Column) -> tuple[Column, Column]:
 def rcorr(x, y, n: int, least: int | None = None, flat: float | None = 0.0) -> E:
     """Pearson correlation of the last n rows where both are there; `flat` where one of them does not vary."""
     least = n if least is None else least
-    w, w_sql = _frame(n)
+    frame, w_sql = _frame(n)
 
     def column(a: Column, b: Column) -> Column:
+        w = frame()
         a, b = _pair(a, b)
         still = (F.min(a).over(w) == F.max(a).over(w)) | (F.min(b).over(w) == F.max(b).over(w))
         corr = F.round(F.try_divide(F.covar_pop(a, b).over(w), F.stddev_pop(a).over(w) * F.stddev_pop(b).over(w)), 10)
@@ -263,9 +274,10 @@ def rcorr(x, y, n: int, least: int | None = None, flat: float | None = 0.0) -> E
 
 def rcov(x, y, n: int) -> E:
     """Sample covariance of a full window."""
-    w, w_sql = _frame(n)
+    frame, w_sql = _frame(n)
 
     def column(a: Column, b: Column) -> Column:
+        w = frame()
         a, b = _pair(a, b)
         return F.when(F.count(a).over(w) >= n, F.round(F.covar_samp(a, b).over(w), 10))
 
@@ -278,9 +290,10 @@ def rcov(x, y, n: int) -> E:
 
 def tsrank(x, n: int) -> E:
     """Average rank of the last value in a full window, scaled to 0..1."""
-    w, w_sql = _frame(n)
+    frame, w_sql = _frame(n)
 
     def column(v: Column) -> Column:
+        w = frame()
         got = F.collect_list(v).over(w)
         less = F.size(F.filter(got, lambda z: z < v))
         same = F.size(F.filter(got, lambda z: z == v))
@@ -295,10 +308,10 @@ def tsrank(x, n: int) -> E:
 
 def since_max(x, n: int) -> E:
     """Rows since the first greatest value of a full window; 0 is the current row."""
-    w, w_sql = _frame(n)
+    frame, w_sql = _frame(n)
     return make(
         "since_max", "T",
-        lambda v: F.when(F.size(F.collect_list(v).over(w)) == n, n - F.array_position(F.collect_list(v).over(w), F.max(v).over(w))).cast("double"),
+        lambda v: F.when(F.size(F.collect_list(v).over(frame())) == n, n - F.array_position(F.collect_list(v).over(frame()), F.max(v).over(frame()))).cast("double"),
         lambda v: f"CAST(CASE WHEN count({v}) OVER {w_sql} = {n} THEN {n} - list_position(list({v}) OVER {w_sql}, max({v}) OVER {w_sql}) END AS DOUBLE)",
         x, extra=(n,),
     )
@@ -314,8 +327,7 @@ def ewm(x, alpha: float, least: int = 1) -> E:
     left beyond them, (1 - alpha) ** EWM_LENGTH, is under 1e-15; slower decay takes the whole prefix.
     """
     back = EWM_LENGTH if (1 - alpha) ** EWM_LENGTH < 1e-15 else None
-    w = _T.rowsBetween(Window.unboundedPreceding if back is None else -back, 0)
-
+    
     def column(v: Column) -> Column:
         zero = F.struct(F.lit(None).cast("double").alias("y"), F.lit(0.0).alias("old"), F.lit(0).alias("n"))
 
@@ -326,7 +338,7 @@ def ewm(x, alpha: float, least: int = 1) -> E:
             stay = F.struct(y.alias("y"), old.alias("old"), s["n"].alias("n"))
             return F.when(x.isNull(), stay).when(y.isNull(), start).otherwise(moved)
 
-        got = F.aggregate(F.collect_list(F.struct(v.alias("x"))).over(w), zero, step, lambda s: F.when(s["n"] >= least, s["y"]))
+        got = F.aggregate(F.collect_list(F.struct(v.alias("x"))).over(_t().rowsBetween(Window.unboundedPreceding if back is None else -back, 0)), zero, step, lambda s: F.when(s["n"] >= least, s["y"]))
         return got
 
     def text(v: str) -> str:
@@ -339,16 +351,13 @@ def ewm(x, alpha: float, least: int = 1) -> E:
 
 # Windows across the items of a date.
 
-_X = Window.partitionBy(DATE)
-
-
 def csrank(x) -> E:
     """Average rank among the values of the date, scaled to 0..1; alone: 0.5."""
 
     def column(v: Column) -> Column:
-        order = _X.orderBy(v.asc_nulls_last())
+        order = _x().orderBy(v.asc_nulls_last())
         peers = order.rangeBetween(Window.currentRow, Window.currentRow)
-        n = F.count(v).over(_X)
+        n = F.count(v).over(_x())
         r = F.rank().over(order) + (F.count(F.lit(1)).over(peers) - 1) / 2
         return F.when(v.isNotNull(), F.when(n == 1, F.lit(0.5)).otherwise(F.try_divide(r - 1, n - 1)))
 
@@ -365,7 +374,7 @@ def over_date(kind: str, x) -> E:
     """avg, sum, count, std0 or median of a date's values."""
     fn = {"avg": F.avg, "sum": F.sum, "count": F.count, "std0": F.stddev_pop, "median": F.median, "min": F.min, "max": F.max}[kind]
     name = {"std0": "stddev_pop"}.get(kind, kind)
-    return make(f"date_{kind}", "X", lambda v: fn(v).over(_X), lambda v: f"{name}({v}) OVER (PARTITION BY {DATE})", x)
+    return make(f"date_{kind}", "X", lambda v: fn(v).over(_x()), lambda v: f"{name}({v}) OVER (PARTITION BY {DATE})", x)
 
 
 def scale(x, target: float = 1.0) -> E:
