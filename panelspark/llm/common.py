@@ -34,6 +34,11 @@ def store(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of what is stored by now; it does so when the driver's JVM collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents(df: DataFrame, *columns: str) -> DataFrame:
     """doc_id and text first; nothing that an extra column could clash with."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns)

@@ -2,21 +2,32 @@
 
 Candidates come as (grp, id): members of one group may be alike. All pairs of a group are never written out. Each group
 compares its members with its least member first; verified pairs give components. Members still apart from their
-group's leader are residual: they elect the next leader, which is compared with every member of the group outside its
-component, until the pairs that are left are few beside the members, and those are all compared. What is never compared
-is a pair that is connected already, so the components equal those of all verified candidate pairs.
+group's leader are residual. Where pairs of residual members with the rest are many, the groups they are in are refined
+if the caller can (members that agree in one thing more), and else elect the least residual member as the next leader,
+which is compared with all members outside its component. Once these pairs are no more than the members, all
+are compared. Only pairs that are connected already are left out, so the components equal those of all candidate pairs.
+
+Tables of at most SMALL rows, by their count, go on in one task: that saves shuffles of next to nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import store
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_HEADS = 200_000, 1_000_000
+SMALL = 250_000
+
+
+def stored(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
+    """df in the shared folder, in one part if small; its number of rows."""
+    out = store(df.sparkSession, df, tag)
+    n = out.count()
+    return (out.coalesce(1) if n <= SMALL else out), n
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,21 +35,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round is written to the shared folder; only two counts reach the driver.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e = store(edges.sparkSession, e, "stars")
+    e, n = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
     seen = None
-    while True:
+    while n:  # ends: each step moves ends to lesser ids
         # Large star: all larger neighbours of a node go to the least of its neighbours and itself.
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         up = e.join(least.withColumnRenamed("u", "v"), "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         # Small star: a node and its smaller neighbours go to the least of them.
         low = up.groupBy("u").agg(F.min("v").alias("m"))
         both = up.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        e = store(edges.sparkSession, both, "stars")
-        now = e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first()
+        e, n = stored(both, "stars")
+        now = (n, e.agg(F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first()[0])
         if now == seen:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+            break
         seen = now
+    return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
 def fetch(pairs: DataFrame, rows: DataFrame, side: str, names: dict[str, str]) -> DataFrame:
@@ -50,34 +61,76 @@ def fetch(pairs: DataFrame, rows: DataFrame, side: str, names: dict[str, str]) -
     return pairs.join(some.select(F.col("id").alias(side), *[F.col(k).alias(v) for k, v in names.items()]), side)
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], enough: int = 2_000_000) -> DataFrame:
-    """(id, root) of every id that is linked to another. members: (grp, id); verify: pairs (a, b) -> those alike."""
-    spark = members.sparkSession
-    head = members.groupBy("grp").agg(F.min("id").alias("head"), F.max("id").alias("_max")).where("head <> _max").drop("_max")
-    members = store(spark, members.join(head, "grp").distinct(), "members")
-    n = members.count()
+def _headed(members: DataFrame, sketches: DataFrame | None, near: Callable[[str, str], Column] | None) -> tuple[DataFrame, list[str], int]:
+    """(grp, id, head, both their sketches) of the groups of two members or more; what the sketches are; how many rows.
+
+    A pair that is alone in its group and not near goes at once: of random meetings, nearly all.
+    """
+    own = [c for c in members.columns if c not in ("grp", "id")]
+    head = members.groupBy("grp").agg(F.min("id").alias("head"), F.max("id").alias("_max"), F.count("*").alias("_n"), *[F.min_by(c, "id").alias(f"head_{c}") for c in own]).where("head <> _max").drop("_max")
+    head, n = stored(head, "heads")
+    rest = members.join(F.broadcast(head) if n <= BROADCAST_HEADS else head, "grp").where("id <> head")
+    if sketches is not None:
+        own = [c for c in sketches.columns if c != "id"]
+        rest = rest.join(sketches, "id").join(sketches.select(*[F.col(c).alias("head" if c == "id" else f"head_{c}") for c in sketches.columns]), "head")
+    if near is not None:
+        rest = rest.where((F.col("_n") > 2) | near("head_", ""))
+    rest, n = stored(rest.drop("_n").distinct(), "members")
+    heads = rest.select("grp", F.col("head").alias("id"), "head", *[F.col(f"head_{c}").alias(c) for c in own], *[f"head_{c}" for c in own]).distinct()
+    names = ["grp", "id", "head", *own, *[f"head_{c}" for c in own]]
+    return rest.select(*names).unionByName(heads.select(*names)), own, n
+
+
+def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame | None = None, near: Callable[[str, str], Column] | None = None, refine: Callable[[DataFrame], DataFrame] | None = None, enough: int = 20_000) -> DataFrame:
+    """(id, root) of every id that is linked to another. members: (grp, id); verify: pairs (a, b) -> those alike.
+
+    sketches and near, if given: (id, some columns), or such columns in members, and a condition on the prefixes of two
+    members' such columns that every pair alike meets; it is part of the joins, so pairs that fail it are never written. refine, if given: members
+    (grp, id) -> members of finer groups that still bring together all that must be compared.
+    """
+    members, payload, n = _headed(members, sketches, near)
+
+    def close(a: str, b: str) -> Column:
+        return near(a, b) if near else F.lit(True)
 
     def checked(pairs: DataFrame) -> DataFrame:
-        return verify(store(spark, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"))
+        own, some = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        return stored(verify(own), "links")[0] if some else own
 
-    good = store(spark, checked(members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))), "links")
+    def with_heads(own: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+        """Each member with the least head it is near and not connected with."""
+        some = own.where(F.col("id") != F.col("head")).where(close("head_", ""))
+        if roots is not None:
+            some = some.join(roots.select("id", F.col("root").alias("_r")), "id", "left").join(roots.select(F.col("id").alias("head"), F.col("root").alias("_h")), "head", "left").where(F.coalesce("_r", "id") != F.coalesce("_h", "head"))
+        return some.groupBy("id").agg(F.min("head").alias("a")).select("a", F.col("id").alias("b"))
+
+    good = checked(with_heads(members))
     roots = components(good)
-    done = members.where("id = head").select("grp", "id")
+    done = None
     while True:
-        rooted = store(spark, members.join(roots, "id", "left").select("grp", "id", "head", F.coalesce("root", "id").alias("root")), "rooted")
+        rooted, _ = stored(members.join(roots, "id", "left").select("grp", "id", "head", *payload, F.coalesce("root", "id").alias("root")), "rooted")
         heads = rooted.where("id = head").select("grp", F.col("root").alias("head_root"))
-        rest = rooted.join(heads, "grp").where("root <> head_root").join(done, ["grp", "id"], "left_anti")
-        rest = store(spark, rest.select("grp", "id", "root"), "residual")
-        each = rest.groupBy("grp").agg(F.count("*").alias("r"), F.min("id").alias("next"))
-        work = each.join(rooted.groupBy("grp").agg(F.count("*").alias("n")), "grp").agg(F.sum(F.col("r") * F.col("n"))).first()[0] or 0
-        if not work:
+        rest = rooted.join(heads, "grp").where("root <> head_root").select("grp", "id", "root", *payload)
+        rest, left = stored(rest if done is None else rest.join(done, ["grp", "id"], "left_anti"), "residual")
+        if not left:
             return roots
+        each = rest.groupBy("grp").agg(F.count("*").alias("r"), F.min("id").alias("next"))
+        work = each.join(rooted.groupBy("grp").agg(F.count("*").alias("n")), "grp").agg(F.sum(F.col("r") * F.col("n"))).first()[0]
         last = work <= max(enough, 4 * n)
-        lead = rest if last else rest.join(each, "grp").where("id = next").select("grp", "id", "root")
-        lead = lead.select("grp", F.col("id").alias("a"), F.col("root").alias("a_root"))
-        new = rooted.join(lead, "grp").where("root <> a_root").select("a", F.col("id").alias("b"))
-        good = store(spark, good.unionByName(checked(new)), "links")
+        if refine and not last:
+            finer = refine(rooted.join(each, "grp", "left_semi").select("grp", "id"))
+            mixed = finer.join(roots, "id", "left").groupBy("grp").agg(F.min(F.coalesce("root", "id")).alias("x"), F.max(F.coalesce("root", "id")).alias("y")).where("x <> y")
+            members, payload, n = _headed(finer.join(mixed.select("grp"), "grp", "left_semi"), sketches, near)
+            refine, done = None, None
+            good, _ = stored(good.unionByName(checked(with_heads(members, roots))), "links")
+            roots = components(good)
+            continue
+        lead = rest if last else rest.join(each, "grp").where("id = next").select("grp", "id", "root", *payload)
+        lead = lead.select("grp", F.col("id").alias("a"), F.col("root").alias("a_root"), *[F.col(p).alias(f"a_{p}") for p in payload])
+        new = rooted.join(lead, (rooted.grp == lead.grp) & (F.col("root") != F.col("a_root")) & close("a_", "")).select("a", F.col("id").alias("b"))
+        good, _ = stored(good.unionByName(checked(new)), "links")
         roots = components(good)
         if last:
             return roots
-        done = store(spark, done.unionByName(lead.select("grp", F.col("a").alias("id"))), "leaders")
+        own = lead.select("grp", F.col("a").alias("id"))
+        done, _ = stored(own if done is None else done.unionByName(own), "leaders")
