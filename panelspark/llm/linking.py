@@ -4,8 +4,8 @@ Candidates come as (grp, id): members of one group may be alike. All pairs of a
 compares its members with its least member first; verified pairs give components. Members still apart from their
 group's leader are residual. Where pairs of residual members with the rest are many, the groups they are in are refined
 if the caller can (members that agree in one thing more), and else elect the least residual member as the next leader,
-which is compared with all members outside its component. Once these pairs are no more than the members, all
-are compared. Only pairs that are connected already are left out, so the components equal those of all candidate pairs.
+which is compared with all members outside its component. Once these pairs are few beside the members, all are
+compared. Only pairs that are connected already are left out, so the components equal those of all candidate pairs.
 
 Tables of at most SMALL rows, by their count, go on in one task: that saves shuffles of next to nothing.
 """
@@ -116,7 +116,7 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketche
             return roots
         each = rest.groupBy("grp").agg(F.count("*").alias("r"), F.min("id").alias("next"))
         work = each.join(rooted.groupBy("grp").agg(F.count("*").alias("n")), "grp").agg(F.sum(F.col("r") * F.col("n"))).first()[0]
-        last = work <= max(enough, 4 * n)
+        last = work <= max(enough, (400 if near else 4) * n)  # what is not near costs a comparison and no row
         if refine and not last:
             finer = refine(rooted.join(each, "grp", "left_semi").select("grp", "id"))
             mixed = finer.join(roots, "id", "left").groupBy("grp").agg(F.min(F.coalesce("root", "id")).alias("x"), F.max(F.coalesce("root", "id")).alias("y")).where("x <> y")

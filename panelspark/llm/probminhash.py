@@ -3,8 +3,9 @@
 A document is its shingles of five words, weighted by how often they occur. Each shingle is a Poisson process whose rate is
 its weight: arrivals come at sums of exponential waiting times, each at one of REGISTERS registers, which keep their
 earliest arrival. A shingle stops as soon as its next arrival is later than every register's, so most need one or two.
-Two documents agree in a register with the probability Jaccard similarity of their weights. ROWS registers make a band; sharing
-one of BANDS bands makes a candidate (at 0.8, all but 5 in 100,000), and each candidate is verified by the exact similarity.
+Two documents agree in a register with the probability Jaccard similarity of their weights. ROWS registers make a band; a pair
+that shares one of BANDS bands is a candidate (at 0.8, all but 1 in 10,000; at 0.82, 2 in 100,000) if two bits of each of 128
+registers agree about as often as they do at 0.8 or more. Each candidate is verified by the exact similarity.
 
 Documents of equal words are one class from the start, so copies cost nothing more; those without words (null, empty)
 are such a class. Links are 0.8 or more; classes are their connected components, named by their least doc_id.
@@ -16,15 +17,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import arrow_map, documents, mix, store
 from panelspark.llm.linking import fetch, linked
 from panelspark.llm.words import counted, shingles, word_hashes
 
-SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
+SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 39, 7
 REGISTERS = BANDS * ROWS
+SKETCH = ("sketch_1", "sketch_2", "sketch_3", "sketch_4")
 
 
 def signatures(hashes: np.ndarray, owner: np.ndarray, weights: np.ndarray, n: int, registers: int = REGISTERS) -> np.ndarray:
@@ -51,7 +53,7 @@ def signatures(hashes: np.ndarray, owner: np.ndarray, weights: np.ndarray, n: in
 
 
 def banded(df: DataFrame) -> DataFrame:
-    """(doc_id, whole_1, whole_2, bands) for each document; bands empty where there are no words."""
+    """(doc_id, whole_1, whole_2, bands, sketches); bands empty where there are no words."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -71,11 +73,14 @@ def banded(df: DataFrame) -> DataFrame:
             some = counts > 0
             offsets = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].reshape(-1).view(np.int64)))
-            return pa.RecordBatch.from_arrays([batch.column(0), *whole, bands], names=["doc_id", "whole_1", "whole_2", "bands"])
+            two = mix(who[:, :128])
+            bits = np.stack([two >> np.uint64(k) & np.uint64(1) for k in (0, 1)], 1).reshape(n, 4, 64) << np.arange(64, dtype=np.uint64)
+            sketch = [pa.array(np.bitwise_or.reduce(bits[:, i], axis=1).view(np.int64), pa.int64()) for i in range(4)]
+            return pa.RecordBatch.from_arrays([batch.column(0), *whole, bands, *sketch], names=["doc_id", "whole_1", "whole_2", "bands", *SKETCH])
 
         return each
 
-    return arrow_map(documents(df), make, "doc_id long, whole_1 long, whole_2 long, bands array<long>")
+    return arrow_map(documents(df), make, "doc_id long, whole_1 long, whole_2 long, bands array<long>" + "".join(f", {c} long" for c in SKETCH))
 
 
 def probability_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
@@ -117,7 +122,7 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     docs = documents(df)
     marked = store(spark, banded(df), "signatures")
-    equal = marked.groupBy("whole_1", "whole_2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+    equal = marked.groupBy("whole_1", "whole_2").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("bands", *SKETCH)])
     equal = store(spark, equal, "distinct")
     members = equal.where("id IS NOT NULL").select("id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("grp"), "id")
     whole = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
@@ -125,7 +130,12 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     def verify(pairs: DataFrame) -> DataFrame:
         return similar(fetch(fetch(pairs, whole, "a", {"text": "ta"}), whole, "b", {"text": "tb"})).distinct()
 
-    roots = linked(members, verify)
+    def close(a: str, b: str) -> Column:
+        """A register's two bits differ with 0.15 at 0.8: more than 36 of 128 do once in 50,000."""
+        x = [F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in SKETCH]
+        return F.bit_count(x[0].bitwiseOR(x[2])) + F.bit_count(x[1].bitwiseOR(x[3])) <= 36
+
+    roots = linked(members, verify, equal.where("id IS NOT NULL").select("id", *SKETCH), close)
     named = equal.select("whole_1", "whole_2", "id").join(roots, "id", "left").select("whole_1", "whole_2", F.col("id").alias("copy_of"), F.coalesce("root", "id").alias("class_id"))
     return marked.select("doc_id", "whole_1", "whole_2").join(named, ["whole_1", "whole_2"], "left").select("doc_id", "class_id", "copy_of")
 
