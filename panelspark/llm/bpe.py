@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from panelspark.llm.common import arrow_map, documents
 
 END = "</w>"
-WORDS_KEPT, ARCS_KEPT = 250_000, 1_000_000
+WORDS_KEPT, ARCS_KEPT = 200_000, 1_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -52,6 +52,13 @@ class Automaton:
         for when, (a, b) in enumerate(merges):
             self.gadget(vocab[a], vocab[b], vocab[a + b], when)
         self.longest = max((len(t.removesuffix(END)) for t in vocab), default=0)
+        self.trie: dict = {}  # of the labels that do not end a word: "" leads to the label's number
+        for text, i in vocab.items():
+            if not text.endswith(END):
+                node = self.trie
+                for x in text:
+                    node = node.setdefault(x, {})
+                node[""] = i
 
     def gadget(self, a: int, b: int, c: int, when: int) -> None:
         self.taken.setdefault(a << 32 | b, when)
@@ -82,18 +89,33 @@ class Automaton:
         return True
 
     def path(self, word: str, end: str = END) -> list[int]:
-        """The labels of the path that spells word (in byte symbols), its last symbol closed by `end`."""
-        n, vocab, longest, arc = len(word), self.vocab, self.longest, self.arc
+        """The labels of the path that spells word (in byte symbols), its last symbol closed by `end`.
+
+        From each place the trie of labels gives the arcs that the word may take next; it ends where no label goes on.
+        """
+        n, vocab, arcs, arc, root = len(word), self.vocab, self.arcs, self.arc, self.trie
         last, back = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            close = end if i == n else ""
-            for j in range(max(0, i - longest), i):
-                if j and last[j] < 0:
-                    continue
-                token = vocab.get(word[j:i] + close)
-                if token is not None and (not j or arc(last[j], token)):
-                    last[i], back[i] = token, j
+        for j in range(n):
+            before = last[j]
+            if j and before < 0:
+                continue
+            node, i, key = root, j, before << 32
+            while i < n:
+                node = node.get(word[i])
+                if node is None:
+                    break
+                i += 1
+                if i == n:
                     break
+                token = node.get("")
+                if token is not None and last[i] < 0:
+                    ok = True if not j else arcs.get(key | token)
+                    if ok or ok is None and arc(before, token):
+                        last[i], back[i] = token, j
+            if last[n] < 0 and n - j <= self.longest:
+                token = vocab.get(word[j:] + end)
+                if token is not None and (not j or arc(before, token)):
+                    last[n], back[n] = token, j
         if n and last[n] < 0:
             raise ValueError(f"no path for {word!r}")
         out = []
@@ -121,11 +143,12 @@ class Tokenizer:
             self.labels += [""] * (i + 1 - len(self.labels))
             self.labels[i] = text
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode_word(self, word: str) -> bytes:
-        ids = np.array(self.machine.path(word.encode().decode("latin-1").translate(self.spell)), "<u4").tobytes()
-        if len(self.known) >= WORDS_KEPT:
-            self.known.clear()
+        ids = self.older.get(word) or np.array(self.machine.path(word.encode().decode("latin-1").translate(self.spell)), "<u4").tobytes()
+        if len(self.known) >= WORDS_KEPT:  # words met again since the last turn stay
+            self.older, self.known = self.known, {}
         self.known[word] = ids
         return ids
 
