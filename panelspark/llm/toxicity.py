@@ -1,32 +1,40 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are lower-cased words and their beginnings of 4 to 8 letters, as insults are inflected. Of the labelled examples
-(a hashed sample of at most about MAX_EXAMPLES, so fitting costs the same at any size), those terms are kept that toxic
-ones hold far more often (odds LIFT times as high at least, and a G-test). Examples and documents are TF-IDF vectors over the kept terms, of length 1.
-The examples' index has a posting list for each term, cut into blocks of BLOCK examples whose largest weight is
-kept; a query bounds each block by these, takes blocks by falling bound, and stops once no bound reaches the K-th best
-cosine: exact, ties of the K-th included. Votes weigh by the cosine's square, lean on the share of toxic examples, and are
+Terms are lower-cased words and their beginnings of 4 to 8 letters, as insults are inflected; each is known by a 64-bit hash.
+All terms of the labelled examples count (the examples are a hashed sample of at most about MAX_EXAMPLES, so fitting costs the
+same at any size). Examples and documents are TF-IDF vectors of length 1; a term's weight grows with the surety that it
+marks toxic examples (a G-test beyond SURE, odds up to LIFT times as high), and none is left out.
+The examples' index has a posting list for each term, and the largest weights of frequent terms in blocks of BLOCK examples;
+these bound a query's cosines, and what reaches the K-th best cosine is scored in full: exact, ties of the K-th included.
+Votes weigh by the cosine's square, lean on the share of toxic examples, and are
 calibrated by isotonic regression over each example's votes without itself. The neighbours are the evidence.
 
-Null and empty texts, and texts without any kept term, have the share of toxic ones among such examples as their score.
+Null and empty texts, and texts without any known term, have the share of toxic ones among such examples as their score.
 With no labelled example at all, every score is 0. Rows that repeat a doc_id are scored each.
 """
 
 from __future__ import annotations
 
 import math
+import os
+import re
+import tempfile
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import arrow_map, documents, store
+from panelspark.llm.common import arrow_map, documents, ranges, shared_dir, store
 
-MAX_EXAMPLES, K, BLOCK, MIN_DF, MIN_G, LIFT, MAX_TERMS, LEAN = 12_000, 15, 64, 4, 16.0, 4.0, 4096, 0.25
+MAX_EXAMPLES, K, BLOCK, LEAN = 12_000, 15, 64, 0.25
+SURE, LIFT, BOOST, RARE, TOGETHER, SLACK = 16.0, 4.0, 15.0, 10, 64, 1e-5
 WORD = regex.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6, 7, 8)
 KEPT = 300_000
@@ -37,104 +45,218 @@ def forms(word: str) -> list[str]:
 
 
 class Terms(dict):
-    """word -> indices of the kept terms it counts for; grows as words come, and starts anew at a bound."""
+    """word -> what its forms are in `known` (sorted 64-bit hashes): their places, or with none given their hashes; starts anew at a bound."""
 
-    def __init__(self, index: dict[str, int]) -> None:
+    def __init__(self, known: np.ndarray | None = None) -> None:
         super().__init__()
-        self.index = index
+        self.known = known
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= KEPT:
             self.clear()
-        found = self[word] = tuple(self.index[f] for f in forms(word) if f in self.index)
+        h = np.array([int.from_bytes(blake2b(f.encode(), digest_size=8).digest(), "little", signed=True) for f in forms(word)], np.int64)
+        if self.known is not None:
+            at = np.searchsorted(self.known, h)
+            at[at == len(self.known)] = 0
+            h = at[self.known[at] == h] if len(self.known) else h[:0]
+        found = self[word] = tuple(h.tolist())
         return found
 
-    def counts(self, text: str | None) -> dict[int, int]:
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(terms in ascending order, how often each)."""
         out: dict[int, int] = {}
-        for word in WORD.findall((text or "").lower()):
+        for word, n in Counter(WORD.findall((text or "").lower())).items():
             for i in self[word]:
-                out[i] = out.get(i, 0) + 1
-        return out
+                out[i] = out.get(i, 0) + n
+        t, n = np.fromiter(out, np.int64, len(out)), np.fromiter(out.values(), np.int64, len(out))
+        order = np.argsort(t)
+        return t[order], n[order]
+
+
+def runs(begin: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all places of the lists `which`, one after the other; the size of each), where list i is begin[i] to begin[i + 1]."""
+    first, n = begin[which], begin[which + 1] - begin[which]
+    return ranges(n) + np.repeat(first, n), n
 
 
 class Index:
-    """Block-max inverted index over unit vectors of examples 0..n-1."""
+    """Block-max inverted index over unit vectors of examples 0..n-1, and the vectors themselves."""
+
+    ARRAYS = ("begin", "terms", "values", "list_begin", "ids", "weights", "row_of", "bounds", "often")
 
     def __init__(self, vectors: list[dict[int, float]], n_terms: int) -> None:
-        self.n = len(vectors)
+        begin = np.cumsum([0, *map(len, vectors)])
+        terms = np.array([t for v in vectors for t in v], np.int32)
+        self.build(begin, terms, np.array([x for v in vectors for x in v.values()]), n_terms)
+
+    @classmethod
+    def of(cls, begin: np.ndarray, terms: np.ndarray, values: np.ndarray, n_terms: int) -> Index:
+        self = cls.__new__(cls)
+        self.build(begin, terms, values, n_terms)
+        return self
+
+    @classmethod
+    def load(cls, read: Callable[[str], np.ndarray]) -> Index:
+        self = cls.__new__(cls)
+        for name in cls.ARRAYS:
+            setattr(self, name, read(name))
+        self.ready()
+        return self
+
+    def build(self, begin: np.ndarray, terms: np.ndarray, values: np.ndarray, n_terms: int) -> None:
+        self.begin, self.terms, self.values = begin, terms, values
+        n, df = len(begin) - 1, np.bincount(terms, minlength=n_terms)
+        frequent = np.flatnonzero(df * RARE > n)
+        self.row_of = np.full(n_terms, -1, np.int32)
+        self.row_of[frequent] = np.arange(len(frequent))
+        example, row = np.repeat(np.arange(n, dtype=np.int32), np.diff(begin)), self.row_of[terms]
+        self.often = np.zeros((len(frequent), n), np.float32)
+        self.often[row[row >= 0], example[row >= 0]] = values[row >= 0]
+        self.bounds = np.maximum.reduceat(self.often, np.arange(0, n, BLOCK), axis=1) if n and len(frequent) else np.zeros((len(frequent), -(-n // BLOCK)), np.float32)
+        rare = np.flatnonzero(row < 0)
+        rare = rare[np.argsort(terms[rare], kind="stable")]
+        self.ids, self.weights = example[rare], values[rare]
+        self.list_begin = np.concatenate([[0], np.cumsum(np.where(self.row_of < 0, df, 0))]).astype(np.int32)
+        self.ready()
+
+    def ready(self) -> None:
+        self.n = len(self.begin) - 1
         self.n_blocks = -(-self.n // BLOCK)
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for i, v in enumerate(vectors):
-            for t, x in v.items():
-                lists[t].append((i, x))
-        self.ids = [np.array([i for i, _ in p], np.int32) for p in lists]
-        self.weights = [np.array([x for _, x in p]) for p in lists]
-        self.most, self.cuts = [], []
-        for ids, weights in zip(self.ids, self.weights):
-            most = np.zeros(self.n_blocks)
-            np.maximum.at(most, ids // BLOCK, weights)
-            self.most.append(most)
-            self.cuts.append(np.searchsorted(ids, np.arange(self.n_blocks + 1) * BLOCK))
+        self.block_of = np.arange(self.n) // BLOCK
+        self.dense = np.zeros(len(self.list_begin) - 1)
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[int, float]]:
         """(example, cosine) of the k best, and of all that tie with the last, by falling cosine."""
-        bound = np.zeros(self.n_blocks)
-        for t, x in query.items():
-            bound += x * self.most[t]
-        best: list[tuple[int, float]] = []
-        least = 0.0
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or bound[block] < least - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for t, x in query.items():
-                a, b = self.cuts[t][block], self.cuts[t][block + 1]
-                if b > a:
-                    scores[self.ids[t][a:b] - block * BLOCK] += x * self.weights[t][a:b]
-            hits = np.flatnonzero((scores > 0) & (scores >= least - 1e-12))
-            best += [(block * BLOCK + int(i), float(scores[i])) for i in hits if block * BLOCK + i != without]
-            if len(best) >= k:
-                least = sorted((s for _, s in best), reverse=True)[k - 1]
-                best = [x for x in best if x[1] >= least - 1e-12]
-        return sorted(best, key=lambda x: (-x[1], x[0]))
+        return self.nearest_all([(np.array(list(query), np.int64), np.array(list(query.values()), float))], k, [without])[0]
+
+    def nearest_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[list[tuple[int, float]]]:
+        """`nearest` of some queries (terms, weights).
+
+        Postings of a query's rarer terms are summed; the block maxima of the others bound what they can add. The best bounds
+        are scored in full. Where few examples' bounds reach the K-th best cosine, these are scored in full as well; the queries
+        left take the product with all examples' weights of frequent terms. That is in single precision and only says who
+        may be among the best (SLACK is far above its error): cosines and ties are those of the full vectors.
+        """
+        if not self.n:
+            return [[] for _ in queries]
+        without = without or [-1] * len(queries)
+        q = np.zeros((len(queries), len(self.often)), np.float32)
+        part = np.zeros((len(queries), self.n))
+        for i, (t, x) in enumerate(queries):
+            row = self.row_of[t]
+            q[i, row[row >= 0]] = x[row >= 0]
+            at, m = runs(self.list_begin, t[row < 0])
+            part[i] = np.bincount(self.ids[at], self.weights[at] * np.repeat(x[row < 0], m), self.n)
+        bound = q @ self.bounds
+        some: list[np.ndarray | None] = []
+        for i, (t, x) in enumerate(queries):
+            upper = part[i] + bound[i][self.block_of]
+            upper[without[i]] = 0.0 if without[i] >= 0 else upper[without[i]]
+            top = np.argpartition(-upper, k)[: k + 1] if self.n > k + 1 else np.arange(self.n)
+            known = self.full(top[upper[top] > 0], t, x)
+            least = np.partition(known, -k)[-k] if len(known) >= k else 0.0
+            able = np.flatnonzero((upper > 0) & (upper >= least - SLACK))
+            some.append(able if len(able) * 16 <= self.n or len(able) <= 16 * k else None)
+        left = [i for i, rows in enumerate(some) if rows is None]
+        if left:
+            part[left] += q[left] @ self.often
+            for i in left:
+                own = part[i]
+                own[without[i]] = 0.0 if without[i] >= 0 else own[without[i]]
+                least = np.partition(own, -k)[-k] if self.n > k else 0.0
+                some[i] = np.flatnonzero((own > 0) & (own >= least - SLACK))
+        out = []
+        for (t, x), rows, own in zip(queries, some, without):
+            rows = rows[rows != own]
+            scores = self.full(rows, t, x)
+            rows, scores = rows[scores > 0], scores[scores > 0]
+            if len(scores) > k:
+                good = scores >= np.partition(scores, -k)[-k] - 1e-12
+                rows, scores = rows[good], scores[good]
+            out.append(sorted(zip(rows.tolist(), scores.tolist()), key=lambda p: (-p[1], p[0])))
+        return out
+
+    def full(self, rows: np.ndarray, t: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The cosines of some examples with a query."""
+        if not len(rows) or not len(t):
+            return np.zeros(len(rows))
+        self.dense[t] = x
+        at, m = runs(self.begin, rows)
+        got = np.add.reduceat(self.dense[self.terms[at]] * self.values[at], np.cumsum(m) - m)
+        self.dense[t] = 0.0
+        return got
+
+
+def weights(n: np.ndarray, toxic: np.ndarray, size: int, bad: int) -> np.ndarray:
+    """A term's weight beside its count: inverse document frequency, times more the surer it marks toxic examples."""
+    idf = np.log((size + 1) / (n + 1)) + 1
+    if not 0 < bad < size:
+        return idf
+    rate = bad / size
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (np.where(toxic > 0, toxic * np.log(toxic / (n * rate)), 0.0) + np.where(n > toxic, (n - toxic) * np.log((n - toxic) / (n * (1 - rate))), 0.0))
+    lift = toxic * (size - bad) / np.maximum(1e-9, (n - toxic) * bad)
+    return idf * (1 + BOOST * (np.maximum(0.0, g - SURE) / SURE) ** 0.5 * np.clip(np.log(np.maximum(lift, 1e-9)) / np.log(LIFT), 0.0, 1.0))
 
 
 class Model:
-    def __init__(self, terms: dict[str, int], idf: np.ndarray, ids: list[int], labels: list[int], counts: list[dict[int, int]]) -> None:
-        self.terms, self.idf, self.ids = terms, idf, ids
-        vectors = [self.vector(c) for c in counts]
-        order = [i for i, v in enumerate(vectors) if v]
-        bare = [y for v, y in zip(vectors, labels) if not v]
-        self.share = sum(labels) / len(labels) if labels else 0.0
-        self.bare = (sum(bare) + self.share) / (len(bare) + 1) if labels else 0.0
-        self.ids, self.labels = [ids[i] for i in order], np.array([labels[i] for i in order], float)
-        self.index = Index([vectors[i] for i in order], len(terms))
-        votes = np.array([self.vote(self.index.nearest(vectors[i], K, at)) for at, i in enumerate(order)])
-        self.xs, self.ys = isotonic(votes, self.labels)
-        self.kept: dict[tuple, tuple[float, list[int]]] = {}
-
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        size = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / size for t, x in v.items()} if size else {}
+    """known: sorted hashes of all terms; weight: of each; index over the examples that have a term; ids, labels of these."""
+
+    def __init__(self, known: np.ndarray, weight: np.ndarray, index: Index, ids: np.ndarray, labels: np.ndarray, share: float, bare: float) -> None:
+        self.known, self.weight, self.index, self.ids, self.labels, self.share, self.bare = known, weight, index, ids, labels, share, bare
+        self.xs = self.ys = np.zeros(0)
+
+    def vector(self, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        v = (1 + np.log(n)) * self.weight[t]
+        return t, v / math.sqrt(np.dot(v, v)) if len(v) else v
 
     def vote(self, near: list[tuple[int, float]]) -> float:
         w = np.array([s * s for _, s in near])
         y = self.labels[[i for i, _ in near]] if near else np.zeros(0)
         return float((np.dot(w, y) + LEAN * self.share) / (w.sum() + LEAN))
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        """(calibrated score, doc_ids of the five nearest examples)."""
-        if not counts or not self.index.n:
-            return self.bare, []
-        key = tuple(sorted(counts.items()))
-        if key not in self.kept:
-            if len(self.kept) >= 50_000:
-                self.kept.clear()
-            near = self.index.nearest(self.vector(counts), K)
-            got = float(np.interp(self.vote(near), self.xs, self.ys)) if len(self.xs) else self.vote(near)
-            self.kept[key] = (got if near else self.bare, [self.ids[i] for i, _ in near[:5]])
-        return self.kept[key]
+    def save(self, folder: str) -> dict:
+        """Write the arrays; a task that is tried again writes the same."""
+        os.makedirs(folder, exist_ok=True)
+        for name, array in [*((f, getattr(self, f)) for f in ("known", "weight", "ids", "labels")), *((f"index-{a}", getattr(self.index, a)) for a in Index.ARRAYS)]:
+            np.save(os.path.join(folder, f"{name}.npy"), array)
+        return {"share": self.share, "bare": self.bare, "n": self.index.n}
+
+    def example_votes(self, rows: list[int]) -> list[float]:
+        """The votes of some examples, each without itself."""
+        own = [slice(self.index.begin[i], self.index.begin[i + 1]) for i in rows]
+        return [self.vote(near) for near in self.index.nearest_all([(self.index.terms[o].astype(np.int64), self.index.values[o].astype(float)) for o in own], K, rows)]
+
+    def scores(self, terms: Terms, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+        """(calibrated score, doc_ids of the five nearest examples) of each text."""
+        out = []
+        for a in range(0, len(texts), TOGETHER):
+            for near in self.index.nearest_all([self.vector(*terms.counts(x)) for x in texts[a : a + TOGETHER]], K):
+                got = float(np.interp(self.vote(near), self.xs, self.ys)) if len(self.xs) and near else self.vote(near) if near else self.bare
+                out.append((got, [int(self.ids[i]) for i, _ in near[:5]]))
+        return out
+
+
+def learnt(rows: pa.Table) -> Model:
+    """The model, not calibrated yet, of (doc_id, y, terms, n)."""
+    order = np.lexsort((rows.column("doc_id").to_numpy(), rows.column("y").to_numpy()))
+    rows = rows.take(order).combine_chunks()
+    ids, y = rows.column("doc_id").to_numpy(), rows.column("y").to_numpy().astype(float)
+    sizes = np.array([len(x.as_buffer()) // 4 for chunk in rows.column("n").chunks for x in chunk], np.int64)
+    hashes, counts = (np.frombuffer(b"".join(x.as_buffer() for chunk in rows.column(c).chunks for x in chunk), t) for c, t in (("terms", np.int64), ("n", "<i4")))
+    del rows
+    share = float(y.mean()) if len(y) else 0.0
+    known = np.unique(hashes)
+    terms = np.searchsorted(known, hashes).astype(np.int32)
+    toxic = np.bincount(terms, np.repeat(y, sizes), len(known))
+    weight = weights(np.bincount(terms, minlength=len(known)).astype(float), toxic, len(y), int(y.sum()))
+    values = ((1 + np.log(counts)) * weight[terms]).astype(np.float32)
+    some = np.flatnonzero(sizes)
+    begin = np.concatenate([[0], np.cumsum(sizes[some])])
+    norm = np.sqrt(np.add.reduceat(values.astype(float) ** 2, begin[:-1])) if len(some) else np.zeros(0)
+    values = (values / np.repeat(norm, sizes[some])).astype(np.float32)
+    bare = y[sizes == 0]
+    return Model(known, weight, Index.of(begin, terms, values, len(known)), ids[some], y[some], share, float((bare.sum() + share) / (len(bare) + 1)) if len(y) else 0.0)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +274,7 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(df: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model:
+def fit(df: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Shared:
     """Learn from labelled rows that are not held out; `most` bounds the examples (in expectation)."""
     spark = df.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y")).where(~held_out())
@@ -162,53 +284,77 @@ def fit(df: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model:
     examples = documents(df).join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")  # at most about `most` rows of two numbers
     examples = store(spark, examples, "examples")
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen, toxic = Counter(), Counter()
-            for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                own = {f for w in set(WORD.findall((text or "").lower())) for f in forms(w)}
-                seen.update(own)
-                if y:
-                    toxic.update(own)
-            names = list(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[f] for f in names], pa.int64()), pa.array([toxic[f] for f in names], pa.int64())], names=["term", "n", "t"])
-
-    size, bad = examples.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    if not size:
-        return Model({}, np.zeros(0), [], [], [])
-    stats = examples.mapInArrow(tally, "term string, n long, t long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(f"n >= {MIN_DF} AND t * {size - bad} >= {LIFT} * (n - t) * {bad} AND t > 0")
-
-    def part(x, of, rate):
-        return F.when(x > 0, x * F.ln(x / (of * rate))).otherwise(0.0)
-
-    rate = max(1e-9, min(1 - 1e-9, bad / size))
-    g = 2 * (part(F.col("t"), F.col("n"), rate) + part(F.col("n") - F.col("t"), F.col("n"), 1 - rate))
-    chosen = stats.withColumn("g", g).where(f"g >= {MIN_G}").orderBy(F.desc("g"), "term").limit(MAX_TERMS).collect()
-    index = {r.term: i for i, r in enumerate(chosen)}
-    idf = np.array([math.log((size + 1) / (r.n + 1)) + 1 for r in chosen])
-
     def make():
-        terms = Terms(index)
+        terms = Terms()
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             got = [terms.counts(t) for t in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(c) for c in got], pa.list_(pa.int32())), pa.array([list(c.values()) for c in got], pa.list_(pa.int32()))], names=["doc_id", "y", "at", "n"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([t.tobytes() for t, _ in got], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in got], pa.binary())], names=["doc_id", "y", "terms", "n"])
 
         return each
 
-    rows = arrow_map(examples, make, "doc_id long, y int, at array<int>, n array<int>").collect()  # bounded by `most`
-    rows.sort(key=lambda r: (r.at, r.n, r.doc_id))  # like ones side by side: tight blocks
-    return Model(index, idf, [r.doc_id for r in rows], [r.y for r in rows], [dict(zip(r.at, r.n)) for r in rows])
+    rows = store(spark, arrow_map(examples, make, "doc_id long, y int, terms binary, n binary"), "terms")  # bounded by `most`
+    base = shared_dir(spark)
+    tag = f"toxicity-{uuid.uuid4().hex}"
+    if base.startswith("file:"):  # a folder that workers can map: one task builds the model there
+        folder = os.path.join(re.sub("^file:/*", "/", base), tag)
+
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if some := list(batches):
+                yield pa.RecordBatch.from_pylist([learnt(pa.Table.from_batches(some)).save(folder)])
+
+        found = rows.coalesce(1).mapInArrow(build, "share double, bare double, n long").first()
+        share, bare, n = found if found else (0.0, 0.0, 0)
+    else:  # each executor gets the files once
+        folder = None
+        here = os.path.join(tempfile.mkdtemp(prefix="toxicity-"), tag)
+        share, bare, n = learnt(rows.toArrow()).save(here).values()
+        spark.sparkContext.addFile(here, recursive=True)
+    small = Shared(folder, tag, share, bare)
+    if n:
+
+        def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = small.open()
+            for batch in batches:
+                at = batch.column(0).to_pylist()
+                for a in range(0, len(at), TOGETHER):
+                    part = at[a : a + TOGETHER]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(own.labels[part], pa.float64()), pa.array(own.example_votes(part), pa.float64())], names=["id", "y", "vote"])
+
+        got = spark.range(n).mapInArrow(votes, "id long, y double, vote double").toArrow().sort_by("id")
+        small.xs, small.ys = isotonic(got.column("vote").to_numpy(), got.column("y").to_numpy())
+    return small
+
+
+class Shared:
+    """What a task needs to open the model; its arrays are in files that the workers of a machine map together."""
+
+    def __init__(self, folder: str | None, tag: str, share: float, bare: float) -> None:
+        self.folder, self.tag, self.share, self.bare = folder, tag, share, bare
+        self.xs = self.ys = np.zeros(0)
+
+    def open(self) -> Model:
+        folder = self.folder or SparkFiles.get(self.tag)
+        if not os.path.exists(folder):  # no example at all
+            return Model(np.zeros(0, np.int64), np.zeros(0), Index([], 0), np.zeros(0, np.int64), np.zeros(0), self.share, self.bare)
+
+        def read(name: str) -> np.ndarray:
+            return np.load(os.path.join(folder, f"{name}.npy"), mmap_mode="r").view(np.ndarray)
+
+        model = Model(*map(read, ("known", "weight")), Index.load(lambda a: read(f"index-{a}")), *map(read, ("ids", "labels")), self.share, self.bare)
+        model.xs, model.ys = self.xs, self.ys
+        return model
 
 
-def score_texts(df: DataFrame, model: Model) -> DataFrame:
+def score_texts(df: DataFrame, model: Shared) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence for every whole text."""
 
     def make():
-        terms = Terms(model.terms)
+        own = model.open()
+        terms = Terms(own.known)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = [model.score(terms.counts(t)) for t in batch.column(1).to_pylist()]
+            got = own.scores(terms, batch.column(1).to_pylist())
             scores = np.clip([s for s, _ in got], 0.0, 1.0)
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32)), pa.array([e for _, e in got], pa.list_(pa.int64()))], names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
@@ -217,15 +363,16 @@ def score_texts(df: DataFrame, model: Model) -> DataFrame:
     return arrow_map(documents(df).withColumn("held_out", held_out()), make, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
 
 
-def toxic_filter(df: DataFrame, model: Model) -> DataFrame:
+def toxic_filter(df: DataFrame, model: Shared) -> DataFrame:
     """The rows that are not predicted toxic, columns as they were."""
     schema = df.schema
     names = df.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(model.terms)
+        own = model.open()
+        terms = Terms(own.known)
         for batch in batches:
-            yield batch.filter(pa.array([model.score(terms.counts(t))[0] < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([s < 0.5 for s, _ in own.scores(terms, batch.column(at).to_pylist())], pa.bool_()))
 
     return df.mapInArrow(run, schema)

@@ -60,3 +60,14 @@ def test_labels_of_held_out_rows_do_not_count(spark):
     wrong = spark.createDataFrame([(i, 1, (i + (zlib.crc32(str(i).encode()) % 5 == 0)) % 2) for i in range(400)], "doc_id long, quality int, toxic int")
     one, other = (tox.score_texts(df, tox.fit(df, y)).orderBy("doc_id").collect() for y in (labels, wrong))
     assert one == other and all(r.predicted == r.doc_id % 2 for r in one)
+
+
+def test_texts_without_a_telling_word_have_neighbours(spark):
+    """Every example is in the index and every text with a known term is searched, whether or not a term marks toxic ones."""
+    rows = [(i, f"alpha{'abcdefghij'[i % 10] * 3} common filler" + (" nasty" if i % 2 else ""), "en", "s", 1, "", "", "", 1) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+    model = tox.fit(spark.createDataFrame(rows, SCHEMA), labels)
+    asked = [(1000, "alphaccc filler", "en", "s", 1, "", "", "", 1), (1001, "common", "en", "s", 1, "", "", "", 1), (1002, "unheard", "en", "s", 1, "", "", "", 1)]
+    got = {r.doc_id: r for r in tox.score_texts(spark.createDataFrame(asked, SCHEMA), model).collect()}
+    assert len(got[1000].evidence) == len(got[1001].evidence) == 5 and not got[1002].evidence
+    assert all(e % 10 == 2 for e in got[1000].evidence)
