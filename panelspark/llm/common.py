@@ -44,6 +44,27 @@ def documents(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns)
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """df with _key, a long that tells its documents apart: rows of equal doc_id and text have the same, others differ.
+
+    It is the doc_id, but for rows of no id and for the further texts of an id that has several. Those get a 64-bit hash of both,
+    above all ids where ids leave room (below 2 ** 62), so that they come last.
+    """
+    spark = df.sparkSession
+    own, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    digest = F.xxhash64(text, text.isNull())
+    each = df.select(own.alias("_d"), digest.alias("_h")).where("_d IS NOT NULL").groupBy("_d").agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
+    several = store(spark, each.where("_lo <> _hi").select("_d", "_lo"), "several")
+    n, top = several.count(), df.select(F.max(own)).first()[0]
+    other = F.xxhash64(own, text, own.isNull(), text.isNull())
+    if top is None or top < 1 << 62:
+        other = other.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    if not n:
+        return df.withColumn("_key", F.when(own.isNull(), other).otherwise(own))
+    out = df.join(F.broadcast(several) if n <= 200_000 else several, own == F.col("_d"), "left")
+    return out.withColumn("_key", F.when(own.isNull() | (digest != F.col("_lo")), other).otherwise(own)).drop("_d", "_lo")
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each value; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -2,7 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
-from llm_helpers import DATA
+from llm_helpers import DATA, SCHEMA, prose, row
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -38,3 +38,15 @@ def test_each_stage_acts_on_what_is_left(spark, tmp_path):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, f"{DATA}/sf0.001")
     assert out.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+
+
+def test_texts_of_no_id_or_of_one_id_are_documents_each(spark):
+    same = prose(5, 30)
+    rows = [row(1, same + "\n" + prose(6, 30)), row(None, prose(7, 60) + "\n" + same), row(None, prose(8, 60) + "\n" + prose(9, 30)), row(None, prose(8, 60) + "\n" + prose(9, 30)), row(2, prose(10, 60)), row(2, prose(11, 60) + "\n" + prose(12, 40))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    lines = corpus_pipeline.dedup_lines(spark, docs, "")
+    want = [r[1] for r in rows]
+    want[1] = prose(7, 60)
+    assert sorted(r.text for r in lines.collect()) == sorted(want)
+    kept = corpus_pipeline.dedup_documents(spark, docs, "")
+    assert kept.columns == docs.columns and sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted({(str(r[0]), r[1]) for r in rows})
