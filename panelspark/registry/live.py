@@ -90,12 +90,12 @@ def gbt_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = dataset(spark, sf_dir)
-    model = models.fit(p, FEATURES, "label", models.Params(trees=2, depth=2))
+    model = models.fit(p, FEATURES, "label", models.Params())
     return models.permutation_importance(model, p, FEATURES, "pct").withColumn("drop", F.round("drop", 6))
 
 
 def purged_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = models.purged_cv(dataset(spark, sf_dir), FEATURES, "label", "pct", models.Params(trees=2, depth=2), 3, 150, 30)
+    out = models.purged_cv(dataset(spark, sf_dir), FEATURES, "label", "pct", models.Params(), 3, 150, 30)
     return out.select("fold", "n", *[F.round(c, 6).alias(c) for c in ("spearman", "precision_top", "precision_bottom")])
 
 

@@ -195,3 +195,25 @@ def test_ranking_model(spark):
     assert models.sample_rows(p, ["item_id", "date"], 7).count() == 7 and models.rank_groups(p).where("usable").count() == 24
     with pytest.raises(ValueError):
         models.grid_search(p, p, f, "label", "pct", [])
+
+
+def test_registered_models_keep_the_operators_parameters(monkeypatch):
+    from panelspark.operators import models
+    from panelspark.registry import live
+
+    class Seen(Exception):
+        pass
+
+    def stop(*args):
+        raise Seen(next(a for a in args if isinstance(a, models.Params)))
+
+    monkeypatch.setattr(live, "dataset", lambda spark, sf_dir: None)
+    monkeypatch.setattr(models, "fit", stop)
+    monkeypatch.setattr(models, "purged_cv", stop)
+    for query in (live.perm_importance, live.purged_cv):
+        try:
+            query(None, "")
+        except Seen as seen:
+            assert seen.args[0] == models.Params()
+        else:
+            raise AssertionError("no model was fitted")
