@@ -1,13 +1,13 @@
 """From groups of candidates to connected classes, by DataFrame operations alone.
 
-Candidates come as (grp, id): members of one group may be alike. All pairs of a group are never written out. Each group
-compares its members with its least member first; verified pairs give components. Members still apart from their
-group's leader are residual. Where pairs of residual members with the rest are many, the groups they are in are refined
-if the caller can (members that agree in one thing more), and else elect the least residual member as the next leader,
-which is compared with all members outside its component. Once these pairs are few beside the members, all are
-compared. Only pairs that are connected already are left out, so the components equal those of all candidate pairs.
-
-Tables of at most SMALL rows, by their count, go on in one task: that saves shuffles of next to nothing.
+Candidates come as (grp, id): members of one group may be alike. All pairs of a group are never written out. Each member is
+first compared with one leader: of its groups' most popular members (those that meet the most others), the most popular one that
+it is near. Verified pairs give components. What is still apart is taken group by group: of the members outside
+their group's largest component a few are elected, the most popular of each of some hashed classes, and compared with the group's members
+in other components; then components grow, groups of one component are done, and so on until no group has a member left
+outside its largest component that was not a leader. So two members of one group stay apart only if every pair between their components there was
+compared: the components equal those of all candidate pairs. A round compares about ROUND leaders with each
+member at most and writes the near ones alone, and a member leads in one round only, so no step grows with the square of a group.
 """
 
 from __future__ import annotations
@@ -19,15 +19,14 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.common import store
 
-BROADCAST_ROWS, BROADCAST_HEADS = 200_000, 1_000_000
-SMALL = 250_000
+BROADCAST_ROWS = 200_000  # rows of one or two longs: a few MB
+ROUND, SALT = 16, 1_000
 
 
 def stored(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
-    """df in the shared folder, in one part if small; its number of rows."""
+    """df in the shared folder; its number of rows."""
     out = store(df.sparkSession, df, tag)
-    n = out.count()
-    return (out.coalesce(1) if n <= SMALL else out), n
+    return out, out.count()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -53,84 +52,84 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def fetch(pairs: DataFrame, rows: DataFrame, side: str, names: dict[str, str]) -> DataFrame:
-    """pairs with columns of rows (by id) for one side. The ids go to the scan of rows where they are few."""
-    need = pairs.select(F.col(side).alias("id")).distinct()
+    """pairs with columns of rows (by id) for one side.
+
+    The ids go to the scan of rows where they are few. What a popular id is paired with is dealt over copies of its row, one for each SALT pairs.
+    """
+    need, n = stored(pairs.groupBy(F.col(side).alias("id")).agg(F.ceil(F.count("*") / SALT).cast("int").alias("_copies")), "wanted")
     some = rows.select("id", *names)
-    if need.count() <= BROADCAST_ROWS:
-        some = some.join(F.broadcast(need), "id", "left_semi")
-    return pairs.join(some.select(F.col("id").alias(side), *[F.col(k).alias(v) for k, v in names.items()]), side)
+    if n <= BROADCAST_ROWS:
+        need = F.broadcast(need)
+    there = some.join(need, "id").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).select(F.col("id").alias(side), "_salt", *[F.col(k).alias(v) for k, v in names.items()])
+    salted = pairs.join(need.select(F.col("id").alias(side), "_copies"), side).withColumn("_salt", F.pmod(F.xxhash64("a", "b"), F.col("_copies")).cast("int")).drop("_copies")
+    return salted.join(there, [side, "_salt"]).drop("_salt")
 
 
-def _headed(members: DataFrame, sketches: DataFrame | None, near: Callable[[str, str], Column] | None) -> tuple[DataFrame, list[str], int]:
-    """(grp, id, head, both their sketches) of the groups of two members or more; what the sketches are; how many rows.
+def _elected(members: DataFrame, by: list, payload: list[str], prefix: str) -> DataFrame:
+    """The most popular member of each part `by`, with its payload; ties go to the least id."""
+    best = members.groupBy(*by).agg(F.max_by(F.struct("id", "pop", *payload), F.struct("pop", -F.col("id"))).alias("_best"))
+    return best.select("grp", *[F.col(f"_best.{c}").alias(f"{prefix}{c}") for c in ("id", "pop", *payload)])
 
-    A pair that is alone in its group and not near goes at once: of random meetings, nearly all.
-    """
-    own = [c for c in members.columns if c not in ("grp", "id")]
-    head = members.groupBy("grp").agg(F.min("id").alias("head"), F.max("id").alias("_max"), F.count("*").alias("_n"), *[F.min_by(c, "id").alias(f"head_{c}") for c in own]).where("head <> _max").drop("_max")
-    head, n = stored(head, "heads")
-    rest = members.join(F.broadcast(head) if n <= BROADCAST_HEADS else head, "grp").where("id <> head")
-    if sketches is not None:
-        own = [c for c in sketches.columns if c != "id"]
-        rest = rest.join(sketches, "id").join(sketches.select(*[F.col(c).alias("head" if c == "id" else f"head_{c}") for c in sketches.columns]), "head")
-    if near is not None:
-        rest = rest.where((F.col("_n") > 2) | near("head_", ""))
-    rest, n = stored(rest.drop("_n").distinct(), "members")
-    heads = rest.select("grp", F.col("head").alias("id"), "head", *[F.col(f"head_{c}").alias(c) for c in own], *[f"head_{c}" for c in own]).distinct()
-    names = ["grp", "id", "head", *own, *[f"head_{c}" for c in own]]
-    return rest.select(*names).unionByName(heads.select(*names)), own, n
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots when further links (a, b) join components: what is done over is the components linked now."""
+    ends = links
+    for side in ("a", "b"):
+        ends = ends.join(roots.select(F.col("id").alias(side), F.col("root").alias(f"_{side}")), side, "left").withColumn(side, F.coalesce(f"_{side}", side)).drop(f"_{side}")
+    now = components(ends).select(F.col("id").alias("root"), F.col("root").alias("_root"))
+    both = roots.unionByName(now.select(F.col("root").alias("id"), "root")).distinct()
+    return stored(both.join(now, "root", "left").select("id", F.coalesce("_root", "root").alias("root")).distinct(), "roots")[0]
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame | None = None, near: Callable[[str, str], Column] | None = None, refine: Callable[[DataFrame], DataFrame] | None = None, enough: int = 20_000) -> DataFrame:
+
+def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: Callable[[DataFrame], DataFrame] | None = None, near: Callable[[str, str], Column] | None = None, enough: int = 20_000) -> DataFrame:
     """(id, root) of every id that is linked to another. members: (grp, id); verify: pairs (a, b) -> those alike.
 
-    sketches and near, if given: (id, some columns), or such columns in members, and a condition on the prefixes of two
-    members' such columns that every pair alike meets; it is part of the joins, so pairs that fail it are never written. refine, if given: members
-    (grp, id) -> members of finer groups that still bring together all that must be compared.
+    sketches and near, if given: a function from the ids that meet others at all to (id, some columns), and a condition on the
+    prefixes of two members' such columns that every pair alike meets; it is part of the joins, so pairs that fail it are never
+    written. A round may write `enough` rows in any case.
     """
-    members, payload, n = _headed(members, sketches, near)
+    sizes, _ = stored(members.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "groups")
+    shared, _ = stored(members.join(sizes, "grp"), "shared")
+    popular, payload = shared.groupBy("id").agg(F.sum("n").alias("pop")), []
+    if sketches is not None:
+        popular, _ = stored(popular, "popular")
+        known = sketches(popular.select("id"))
+        payload = [c for c in known.columns if c != "id"]
+        popular = popular.join(known, "id")
+    members, n = stored(shared.select("grp", "id").join(popular, "id").select("grp", "id", "pop", *payload), "members")
 
     def close(a: str, b: str) -> Column:
         return near(a, b) if near else F.lit(True)
 
-    def checked(pairs: DataFrame) -> DataFrame:
+    def checked(pairs: DataFrame) -> tuple[DataFrame, int]:
         own, some = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        return stored(verify(own), "links")[0] if some else own
-
-    def with_heads(own: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-        """Each member with the least head it is near and not connected with."""
-        some = own.where(F.col("id") != F.col("head")).where(close("head_", ""))
-        if roots is not None:
-            some = some.join(roots.select("id", F.col("root").alias("_r")), "id", "left").join(roots.select(F.col("id").alias("head"), F.col("root").alias("_h")), "head", "left").where(F.coalesce("_r", "id") != F.coalesce("_h", "head"))
-        return some.groupBy("id").agg(F.min("head").alias("a")).select("a", F.col("id").alias("b"))
-
-    good = checked(with_heads(members))
-    roots = components(good)
-    done = None
+        return stored(verify(own).select("a", "b").distinct(), "links") if some else (own, 0)
+
+    heads = _elected(members, ["grp"], payload, "a_")
+    met = members.join(heads, "grp").where(F.col("id") != F.col("a_id")).where(close("a_", ""))
+    first = met.groupBy(F.col("id").alias("b")).agg(F.max_by("a_id", F.struct("a_pop", -F.col("a_id"))).alias("a")).select("a", "b")
+    roots = components(checked(first)[0])
+    done, turn = None, 0
     while True:
-        rooted, _ = stored(members.join(roots, "id", "left").select("grp", "id", "head", *payload, F.coalesce("root", "id").alias("root")), "rooted")
-        heads = rooted.where("id = head").select("grp", F.col("root").alias("head_root"))
-        rest = rooted.join(heads, "grp").where("root <> head_root").select("grp", "id", "root", *payload)
-        rest, left = stored(rest if done is None else rest.join(done, ["grp", "id"], "left_anti"), "residual")
+        rooted = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        main = rooted.groupBy("grp", "root").agg(F.count("*").alias("k")).groupBy("grp").agg(F.max_by("root", F.struct("k", -F.col("root"))).alias("main"), F.count("*").alias("m")).where("m > 1")
+        rooted, rest = stored(rooted.join(main.select("grp", "main"), "grp"), "rooted")
+        apart = rooted.where("root <> main")
+        if done is not None:
+            apart = apart.join(done, ["grp", "id"], "left_anti")
+        apart, left = stored(apart, "apart")
         if not left:
             return roots
-        each = rest.groupBy("grp").agg(F.count("*").alias("r"), F.min("id").alias("next"))
-        work = each.join(rooted.groupBy("grp").agg(F.count("*").alias("n")), "grp").agg(F.sum(F.col("r") * F.col("n"))).first()[0]
-        last = work <= max(enough, (400 if near else 4) * n)  # what is not near costs a comparison and no row
-        if refine and not last:
-            finer = refine(rooted.join(each, "grp", "left_semi").select("grp", "id"))
-            mixed = finer.join(roots, "id", "left").groupBy("grp").agg(F.min(F.coalesce("root", "id")).alias("x"), F.max(F.coalesce("root", "id")).alias("y")).where("x <> y")
-            members, payload, n = _headed(finer.join(mixed.select("grp"), "grp", "left_semi"), sketches, near)
-            refine, done = None, None
-            good, _ = stored(good.unionByName(checked(with_heads(members, roots))), "links")
-            roots = components(good)
-            continue
-        lead = rest if last else rest.join(each, "grp").where("id = next").select("grp", "id", "root", *payload)
-        lead = lead.select("grp", F.col("id").alias("a"), F.col("root").alias("a_root"), *[F.col(p).alias(f"a_{p}") for p in payload])
-        new = rooted.join(lead, (rooted.grp == lead.grp) & (F.col("root") != F.col("a_root")) & close("a_", "")).select("a", F.col("id").alias("b"))
-        good, _ = stored(good.unionByName(checked(new)), "links")
-        roots = components(good)
-        if last:
-            return roots
-        own = lead.select("grp", F.col("a").alias("id"))
-        done, _ = stored(own if done is None else done.unionByName(own), "leaders")
+        # Groups whose members outside the largest component have all led are done.
+        rooted = rooted.join(apart.select("grp").distinct(), "grp", "left_semi")
+        leaders = max(1, min(4**turn, max(enough, ROUND * n) // rest))
+        chosen = _elected(apart, ["grp", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(leaders)).alias("_class")], [], "").select("id").distinct()
+        lead = apart.join(chosen, "id", "left_semi")  # in all its groups at once, so that no pair is met again later
+        lead, _ = stored(lead.select("grp", *[F.col(c).alias(f"a_{c}") for c in ("id", "root", *payload)]), "leaders")
+        new = rooted.join(lead, "grp").where((F.col("root") != F.col("a_root")) & close("a_", "")).select(F.col("a_id").alias("a"), F.col("id").alias("b"))
+        found, some = checked(new)
+        if some:
+            roots = _merged(roots, found)
+        own = lead.select("grp", F.col("a_id").alias("id"))
+        done, _ = stored(own if done is None else done.unionByName(own), "led")
+        members, turn = rooted.select("grp", "id", "pop", *payload), turn + 1

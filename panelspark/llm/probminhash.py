@@ -4,8 +4,8 @@ A document is its shingles of five words, weighted by how often they occur. Each
 its weight: arrivals come at sums of exponential waiting times, each at one of REGISTERS registers, which keep their
 earliest arrival. A shingle stops as soon as its next arrival is later than every register's, so most need one or two.
 Two documents agree in a register with the probability Jaccard similarity of their weights. ROWS registers make a band; a pair
-that shares one of BANDS bands is a candidate (at 0.8, all but 1 in 10,000; at 0.82, 2 in 100,000) if two bits of each of 128
-registers agree about as often as they do at 0.8 or more. Each candidate is verified by the exact similarity.
+that shares one of BANDS bands is a candidate (at 0.8, all but 1 in 10,000; at 0.82, 2 in 100,000) if a bit of each of SKETCHED further
+registers, made for those that share a band with another text, agrees about as often as at 0.8 or more. Each candidate is verified by the exact similarity.
 
 Documents of equal words are one class from the start, so copies cost nothing more; those without words (null, empty)
 are such a class. Links are 0.8 or more; classes are their connected components, named by their least doc_id.
@@ -15,6 +15,9 @@ its class, but never names one unless all its rows are null.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,7 +29,8 @@ from panelspark.llm.words import counted, shingles, word_hashes
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 39, 7
 REGISTERS = BANDS * ROWS
-SKETCH = ("sketch_1", "sketch_2", "sketch_3", "sketch_4")
+SKETCHED, FAR = 1024, 146
+SKETCH = tuple(f"sketch_{i}" for i in range(SKETCHED // 64))
 
 
 def signatures(hashes: np.ndarray, owner: np.ndarray, weights: np.ndarray, n: int, registers: int = REGISTERS) -> np.ndarray:
@@ -53,7 +57,7 @@ def signatures(hashes: np.ndarray, owner: np.ndarray, weights: np.ndarray, n: in
 
 
 def banded(df: DataFrame) -> DataFrame:
-    """(doc_id, whole_1, whole_2, bands, sketches); bands empty where there are no words."""
+    """(doc_id, whole_1, whole_2, bands); bands empty where there are no words."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -73,20 +77,20 @@ def banded(df: DataFrame) -> DataFrame:
             some = counts > 0
             offsets = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].reshape(-1).view(np.int64)))
-            two = mix(who[:, :128])
-            bits = np.stack([two >> np.uint64(k) & np.uint64(1) for k in (0, 1)], 1).reshape(n, 4, 64) << np.arange(64, dtype=np.uint64)
-            sketch = [pa.array(np.bitwise_or.reduce(bits[:, i], axis=1).view(np.int64), pa.int64()) for i in range(4)]
-            return pa.RecordBatch.from_arrays([batch.column(0), *whole, bands, *sketch], names=["doc_id", "whole_1", "whole_2", "bands", *SKETCH])
+            return pa.RecordBatch.from_arrays([batch.column(0), *whole, bands], names=["doc_id", "whole_1", "whole_2", "bands"])
 
         return each
 
-    return arrow_map(documents(df), make, "doc_id long, whole_1 long, whole_2 long, bands array<long>" + "".join(f", {c} long" for c in SKETCH))
+    return arrow_map(documents(df), make, "doc_id long, whole_1 long, whole_2 long, bands array<long>")
 
 
 def probability_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
     """Sum over shared d of 1 / sum over e of max(a[e] / a[d], b[e] / b[d]); 1 for two empty sets."""
     if not len(ha) or not len(hb):
         return float(len(ha) == len(hb))
+    if wa[-1] == wb[-1] == 1 and wa.max() == wb.max() == 1:  # sets
+        both = len(np.intersect1d(ha, hb, assume_unique=True))
+        return both / (len(ha) + len(hb) - both)
     keys = np.union1d(ha, hb)
     a, b = np.zeros(len(keys)), np.zeros(len(keys))
     a[np.searchsorted(keys, ha)], b[np.searchsorted(keys, hb)] = wa, wb
@@ -104,17 +108,35 @@ def similar(pairs: DataFrame) -> DataFrame:
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = np.concatenate([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+            own, at, which = np.unique(ids, return_index=True, return_inverse=True)  # a popular text is cut once
+            there = [batch.column(2), batch.column(3)]
             n = batch.num_rows
-            words, counts = word_hashes(batch.column(2).to_pylist() + batch.column(3).to_pylist())
+            words, counts = word_hashes([there[i // n][i % n].as_py() for i in at.tolist()])
             h, o, w = counted(*shingles(words, counts, SHINGLE))
-            cut = np.searchsorted(o, np.arange(2 * n + 1))
-            keep = [probability_jaccard(h[cut[i] : cut[i + 1]], w[cut[i] : cut[i + 1]], h[cut[n + i] : cut[n + i + 1]], w[cut[n + i] : cut[n + i + 1]]) >= SIMILARITY - 1e-12 for i in range(n)]
-            kept = pa.array(keep, pa.bool_())
+            cut = np.searchsorted(o, np.arange(len(own) + 1))
+            sets = [(h[x:y], w[x:y]) for x, y in zip(cut, cut[1:])]
+            kept = pa.array([probability_jaccard(*sets[x], *sets[y]) >= SIMILARITY - 1e-12 for x, y in zip(which[:n].tolist(), which[n:].tolist())], pa.bool_())
             return pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
 
         return each
 
-    return arrow_map(pairs.select("a", "b", "ta", "tb"), make, "a long, b long", "tb", 2_000_000)
+    return arrow_map(pairs.select("a", "b", "ta", "tb"), make, "a long, b long", "tb", 8_000_000)
+
+
+def sketched(texts: DataFrame) -> DataFrame:
+    """(id, sketch columns) of (id, text): a bit of each of SKETCHED registers."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            words, counts = word_hashes(batch.column(1).to_pylist())
+            who = signatures(*counted(*shingles(words, counts, SHINGLE)), batch.num_rows, SKETCHED)
+            bits = np.packbits((mix(who) & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little").view("<i8")
+            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(x), pa.int64()) for x in bits.T)], names=["id", *SKETCH])
+
+        return each
+
+    return arrow_map(texts.select("id", "text"), make, "id long" + "".join(f", {c} long" for c in SKETCH), most=2_000_000)
 
 
 def near_duplicates(df: DataFrame) -> DataFrame:
@@ -122,7 +144,7 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     docs = documents(df)
     marked = store(spark, banded(df), "signatures")
-    equal = marked.groupBy("whole_1", "whole_2").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("bands", *SKETCH)])
+    equal = marked.groupBy("whole_1", "whole_2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     equal = store(spark, equal, "distinct")
     members = equal.where("id IS NOT NULL").select("id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("grp"), "id")
     whole = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
@@ -131,11 +153,13 @@ def near_duplicates(df: DataFrame) -> DataFrame:
         return similar(fetch(fetch(pairs, whole, "a", {"text": "ta"}), whole, "b", {"text": "tb"})).distinct()
 
     def close(a: str, b: str) -> Column:
-        """A register's two bits differ with 0.15 at 0.8: more than 36 of 128 do once in 50,000."""
-        x = [F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in SKETCH]
-        return F.bit_count(x[0].bitwiseOR(x[2])) + F.bit_count(x[1].bitwiseOR(x[3])) <= 36
+        """A register's bits differ with 0.1 at 0.8: more than FAR of SKETCHED do once in 200,000, less often than no band is shared."""
+        return reduce(add, [F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in SKETCH]) <= FAR
+
+    def sketches(ids: DataFrame) -> DataFrame:
+        return sketched(whole.join(ids, "id", "left_semi").dropDuplicates(["id"]))
 
-    roots = linked(members, verify, equal.where("id IS NOT NULL").select("id", *SKETCH), close)
+    roots = linked(members, verify, sketches, close)
     named = equal.select("whole_1", "whole_2", "id").join(roots, "id", "left").select("whole_1", "whole_2", F.col("id").alias("copy_of"), F.coalesce("root", "id").alias("class_id"))
     return marked.select("doc_id", "whole_1", "whole_2").join(named, ["whole_1", "whole_2"], "left").select("doc_id", "class_id", "copy_of")
 
