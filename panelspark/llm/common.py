@@ -72,13 +72,13 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b if b is not None else b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about `most` bytes of `column` (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000, rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about `most` bytes of `column` and at most about `rows` rows (one at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = np.fromiter((len(v) if v is not None else 0 for v in batch.column(column).cast(pa.binary()).to_pylist()), np.int64, batch.num_rows)
-        part = np.cumsum(sizes + 1) // most
+        part = np.cumsum(sizes + 1 + most // rows) // most
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
