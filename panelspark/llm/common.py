@@ -44,8 +44,16 @@ def documents(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns)
 
 
-def keyed(df: DataFrame) -> DataFrame:
-    """df with _key, a long that tells its documents apart: rows of equal doc_id and text have the same, others differ.
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as make it differ from df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def keyed(df: DataFrame, key: str = "_key") -> DataFrame:
+    """df with `key`, a long that tells its documents apart: rows of equal doc_id and text have the same, others differ.
 
     It is the doc_id, but for rows of no id and for the further texts of an id that has several. Those get a 64-bit hash of both,
     above all ids where ids leave room (below 2 ** 62), so that they come last.
@@ -60,9 +68,11 @@ def keyed(df: DataFrame) -> DataFrame:
     if top is None or top < 1 << 62:
         other = other.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
     if not n:
-        return df.withColumn("_key", F.when(own.isNull(), other).otherwise(own))
-    out = df.join(F.broadcast(several) if n <= 200_000 else several, own == F.col("_d"), "left")
-    return out.withColumn("_key", F.when(own.isNull() | (digest != F.col("_lo")), other).otherwise(own)).drop("_d", "_lo")
+        return df.withColumn(key, F.when(own.isNull(), other).otherwise(own))
+    d, lo = unused(df, "_d"), unused(df, "_lo")
+    several = several.select(F.col("_d").alias(d), F.col("_lo").alias(lo))
+    out = df.join(F.broadcast(several) if n <= 200_000 else several, own == F.col(d), "left")
+    return out.withColumn(key, F.when(own.isNull() | (digest != F.col(lo)), other).otherwise(own)).drop(d, lo)
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import store
 
 BROADCAST_ROWS = 200_000  # rows of one or two longs: a few MB
-ROUND, SALT = 16, 1_000
+ROUND, SALT, FEW = 16, 1_000, 20_000
 
 
 def stored(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
-    """df in the shared folder; its number of rows."""
+    """df in the shared folder; its number of rows. At most FEW rows (of numbers) are one part: what follows needs no exchange."""
     out = store(df.sparkSession, df, tag)
-    return out, out.count()
+    n = out.count()
+    return (out.coalesce(1) if n <= FEW else out), n
 
 
 def components(edges: DataFrame) -> DataFrame:

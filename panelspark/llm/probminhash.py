@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import arrow_map, documents, keyed, mix, store
+from panelspark.llm.common import arrow_map, documents, keyed, mix, store, unused
 from panelspark.llm.linking import fetch, linked
 from panelspark.llm.words import counted, shingles, word_hashes
 
@@ -166,6 +166,7 @@ def near_duplicates(df: DataFrame) -> DataFrame:
 
 def keep_first(df: DataFrame) -> DataFrame:
     """The document of each class that names it, once; columns as they were. Different texts of no id or of one id are documents each."""
-    own = keyed(df)
-    names = near_duplicates(own.select(F.col("_key").alias("doc_id"), "text")).where("doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct()
-    return own.join(names, F.col("_key") == F.col("_id"), "left_semi").dropDuplicates(["_key"]).drop("_key")
+    key = unused(df, "_key")
+    own = keyed(df, key)
+    named = near_duplicates(own.select(F.col(key).alias("doc_id"), "text")).where("doc_id = class_id").select(F.col("doc_id").alias(key)).distinct()
+    return own.join(named, key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in df.columns])
