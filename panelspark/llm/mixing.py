@@ -5,9 +5,8 @@ and share 150 % of all sizes; no target passes twice its source's size, and what
 
 Each source's documents are dealt by hash into shards of about SHARD words (more, as the root of a very large source), and each shard, in seeded order, is one
 stream of words cut into blocks of BLOCK words. The quota of a source is its target in blocks. Its shards get theirs
-by highest quotients (Sainte-Lague: words over 1, 3, 5, ...), which is rounding words / d for the one divisor d whose
-rounded sum is the quota; the ranks of the quotients are counted among the few that rounding may move, so no queue
-runs over all blocks. A quota of q blocks in a shard of n takes every block q div n times and the first q mod n in
+by highest quotients (Sainte-Lague: words over 1, 3, 5, ...): the level that as many of them reach as there are seats is found by
+halving, and quotients at that level are ranked, so no queue runs over all blocks. A quota of q blocks in a shard of n takes every block q div n times and the first q mod n in
 seeded order once more, so a document is never taken more than twice, and reruns agree.
 
 Null texts have size 0; sources of size 0 have target 0. Ties stand by hash, then id. Rows that repeat an id are dealt
@@ -19,9 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import store
+from panelspark.llm.common import keyed, store, unused
 
-BLOCK, SHARD, SEED, TOTAL, CAP = 64, 250_000, "mix-1", 1.5, 2
+BLOCK, SHARD, SEED, TOTAL, CAP, HALVINGS = 64, 250_000, "mix-1", 1.5, 2, 80
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -50,21 +49,29 @@ def targets(by_source: DataFrame) -> DataFrame:
 def sainte_lague(df: DataFrame, party: list[str], votes: str, seats: str, most: str, tie: str) -> DataFrame:
     """Seats for each row: the `seats` highest of votes / 1, 3, 5, ... among the rows of one party, at most `most` each.
 
-    A first count by rounding votes * seats / total misses by less than one for each row; from two below it on, the
-    next four quotients of each row are ranked and the open seats go to the highest, then any that `most` sends back
-    goes to the next rows with room, in the same order.
+    A row has floor((votes / x + 1) / 2) quotients of x or more. The level where the party's rows have `seats` of them is found
+    by halving; quotients above it are won, and the seats still open go to each row's next ones in order. A party's rows (shards
+    of a source: as many as the root of its size) are gathered for that.
     """
+    own = F.collect_list(F.struct(F.col(votes).cast("double").alias("v"), F.col(most).cast("long").alias("m")))
+    by = df.groupBy(*party).agg(own.alias("_own"), F.max(votes).cast("double").alias("_top"), F.max(seats).cast("long").alias("_seats"))
+
+    def halved(s: Column, _: Column) -> Column:
+        level = F.sqrt(s["lo"] * s["hi"])
+        won = F.aggregate("_own", F.lit(0).cast("long"), lambda n, x: n + F.least(x["m"], F.floor((x["v"] / level + 1) / 2)))
+        return F.transform(F.array(won), lambda n: F.struct(F.when(n > F.col("_seats"), level).otherwise(s["lo"]).alias("lo"), F.when(n > F.col("_seats"), s["hi"]).otherwise(level).alias("hi")))[0]
+
+    level = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), F.struct(F.lit(1e-9).alias("lo"), (F.col("_top") + 1).alias("hi")), halved)
+    by = by.select(*party, "_seats", (level["hi"] * (1 + 1e-12)).alias("_level"))
     p = Window.partitionBy(*party)
-    out = df.withColumn("_fair", F.try_divide(F.col(votes) * F.col(seats), F.sum(votes).over(p)))
-    out = out.withColumn("_base", F.least(F.col(most), F.greatest(F.lit(0), F.floor(F.coalesce("_fair", F.lit(0.0))) - 2)).cast("long"))
-    out = out.withColumn("_open", F.col(seats) - F.sum("_base").over(p)).withColumn("_row", F.struct(tie))
-    tries = out.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(5)))).where(F.col("_base") + F.col("_k") < F.col(most))
-    tries = tries.withColumn("_q", F.col(votes) / (2 * (F.col("_base") + F.col("_k")) + 1))
+    out = df.join(by, party).withColumn("_base", F.least(F.col(most), F.floor((F.col(votes) / F.col("_level") + 1) / 2)).cast("long"))
+    out = out.withColumn("_open", F.col("_seats") - F.sum("_base").over(p))
+    tries = out.withColumn("_k", F.explode(F.array(F.lit(0), F.lit(1)))).where(F.col("_base") + F.col("_k") < F.col(most))
+    tries = tries.withColumn("_q", F.round(F.col(votes) / (2 * (F.col("_base") + F.col("_k")) + 1), 9))
     won = tries.withColumn("_at", F.row_number().over(p.orderBy(F.desc("_q"), tie, "_k"))).where(F.col("_at") <= F.col("_open"))
     won = won.groupBy(*party, tie).agg(F.count("*").alias("_won"))
-    keys = [*party, tie]
-    joined = out.alias("o").join(won.alias("w"), [F.col(f"o.{k}").eqNullSafe(F.col(f"w.{k}")) for k in keys], "left")
-    return joined.select("o.*", F.coalesce("_won", F.lit(0)).alias("_won")).withColumn("quota", (F.col("_base") + F.col("_won")).cast("long")).drop("_fair", "_base", "_open", "_won", "_row")
+    out = out.join(won, [*party, tie], "left").withColumn("quota", (F.col("_base") + F.coalesce("_won", F.lit(0))).cast("long"))
+    return out.select(*df.columns, "quota")
 
 
 def seeded(*parts: Column) -> Column:
@@ -89,7 +96,8 @@ def plan(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     shards = shards.withColumn("blocks", F.ceil(F.col("words") / BLOCK)).withColumn("most", F.col("blocks") * CAP)
     shards = shards.withColumn("seats", F.least(F.round(F.col("target") / BLOCK), F.sum("most").over(Window.partitionBy("nth"))).cast("long"))
     quotas = sainte_lague(shards, ["nth"], "words", "seats", "most", "shard")
-    blocks = quotas.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    quotas = store(spark, quotas, "mix-quotas")
+    blocks = quotas.repartition(-(-quotas.count() // 64) or 1, "nth", "shard").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     seat = F.row_number().over(Window.partitionBy("nth", "shard").orderBy(seeded(F.col("nth"), F.col("shard"), F.col("block")), "block"))
     blocks = blocks.withColumn("times", (F.floor(F.col("quota") / F.col("blocks")) + F.when(seat <= F.col("quota") % F.col("blocks"), 1).otherwise(0)).cast("long"))
     return placed, blocks.select("nth", "shard", "block", "times")
@@ -114,20 +122,22 @@ def mixed_texts(df: DataFrame) -> DataFrame:
     """df's rows as the mix takes them: one row per pass, whose text is the words taken in it, as they stood.
 
     A pass that takes every word keeps the text as it is; neighbouring blocks keep what stands between them, others are
-    joined by a line break. Documents without words have nothing to take and go. Rows that repeat a doc_id must be one
-    row before (keep_first sees to that); here they would each get the first one's share.
+    joined by a line break. Documents without words have nothing to take and go. Rows that repeat a doc_id and its text count once in
+    the mix and are taken alike; different texts of no doc_id or of one are documents each.
     """
-    placed, blocks = plan(df)
-    cut = pieces(placed, blocks).where("times > 0").join(placed.select("nth", "shard", "row", F.col("doc_id").alias("_id"), "size"), ["nth", "shard", "row"])
+    key, took = unused(df, "_key"), unused(df, "_pass")
+    own = keyed(df, key)
+    placed, blocks = plan(own.select(F.col(key).alias("doc_id"), "source", "text").dropDuplicates(["doc_id"]))
+    cut = pieces(placed, blocks).where("times > 0").join(placed.select("nth", "shard", "row", F.col("doc_id").alias("id"), "size"), ["nth", "shard", "row"])
     passes = cut.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    spans = passes.groupBy("_id", "size", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "past"))).alias("spans"))
-    spans = spans.withColumn("all", F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x.past - x["first"]) == F.col("size")).groupBy("_id").agg(F.collect_list(F.struct("pass", "all", "spans")).alias("_passes"))
-    spans = store(df.sparkSession, spans, "mix-spans")
-    out = df.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).drop("_id")
-    out = out.withColumn("_pass", F.explode("_passes")).drop("_passes")
-    whole = F.when(F.col("_pass")["all"], F.col("text"))
+    spans = passes.groupBy("id", "size", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "past"))).alias("spans"))
+    spans = spans.withColumn("all", F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x.past - x["first"]) == F.col("size")).groupBy("id").agg(F.collect_list(F.struct("pass", "all", "spans")).alias(took))
+    spans = store(df.sparkSession, spans, "mix-spans").withColumnRenamed("id", key)
+    out = own.join(spans, key).withColumn(took, F.explode(took))
+    own_pass = F.col(took)
+    whole = F.when(own_pass["all"], F.col("text"))
     # Words with what follows each, up to the next word; a span is a slice of them.
     words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    glued = F.aggregate(F.col("_pass")["spans"], F.array().cast("array<struct<first:bigint,past:bigint>>"), lambda got, x: F.when((F.size(got) > 0) & (F.element_at(got, -1)["past"] == x["first"]), F.concat(F.slice(got, 1, F.size(got) - 1), F.array(F.struct(F.element_at(got, -1)["first"].alias("first"), x["past"].alias("past"))))).otherwise(F.concat(got, F.array(F.struct(x["first"].alias("first"), x["past"].alias("past"))))))
+    glued = F.aggregate(own_pass["spans"], F.array().cast("array<struct<first:bigint,past:bigint>>"), lambda got, x: F.when((F.size(got) > 0) & (F.element_at(got, -1)["past"] == x["first"]), F.concat(F.slice(got, 1, F.size(got) - 1), F.array(F.struct(F.element_at(got, -1)["first"].alias("first"), x["past"].alias("past"))))).otherwise(F.concat(got, F.array(F.struct(x["first"].alias("first"), x["past"].alias("past"))))))
     part = F.array_join(F.transform(glued, lambda x: F.array_join(F.slice(words, (x["first"] + 1).cast("int"), (x["past"] - x["first"]).cast("int")), "")), "\n")
-    return out.withColumn("text", F.coalesce(whole, F.rtrim(part))).drop("_pass")
+    return out.withColumn("text", F.coalesce(whole, F.rtrim(part))).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -66,6 +66,16 @@ def test_sainte_lague_equals_highest_quotients(spark):
         assert [got[(k, i)] for i in range(len(vs))] == won, k
 
 
+def test_sainte_lague_of_skewed_votes(spark):
+    for votes, seats in (([4000, *[1000] * 6], 1000), ([4001, 1003, 997, 50, 3, 3], 877)):
+        df = spark.createDataFrame([("x", i, v, seats, 5000) for i, v in enumerate(votes)], "k string, i int, v long, s long, m long")
+        won = [0] * len(votes)
+        for _ in range(seats):
+            best = max((v / (2 * won[i] + 1), -i) for i, v in enumerate(votes))
+            won[-best[1]] += 1
+        assert [r.quota for r in mx.sainte_lague(df, ["k"], "v", "s", "m", "i").orderBy("i").collect()] == won
+
+
 def test_mixed_texts(spark):
     rows = [r for r in documents(spark) if r[0] is not None][:-1]
     df = spark.createDataFrame(rows, SCHEMA)
