@@ -26,6 +26,15 @@ from pyspark.sql import DataFrame
 from panelspark.llm.common import arrow_map, documents
 
 END = "</w>"
+# Capitals that the library's case mapping knows and version 15.1 of the character database does not, with their small letters.
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+# Letters and digits that version 16.0 of Unicode added to 15.1 (first and last of each run).
+ADDED = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B),
+    (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x116D0, 0x116E3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x13460, 0x143FA),
+    (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C), (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA),
+]
 WORDS_KEPT, ARCS_KEPT = 200_000, 1_000_000
 
 
@@ -136,6 +145,12 @@ class Tokenizer:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern)
+        # Characters younger than version 16.0 are no letters or digits to the library; the pattern engine here knows them.
+        added = {c for a, z in ADDED for c in range(a, z + 1)}
+        young = "".join(regex.findall(r"[\p{L}\p{N}]", "".join(chr(c) for c in range(0x80, 0x110000) if c not in added and unicodedata.category(chr(c)) == "Cn")))
+        self.capital = regex.compile("[" + "".join(map(chr, LOWER)) + "]")
+        self.young = regex.compile(f"[{young}]") if young else None
+        self.young_words = regex.compile("(?V1)" + pattern.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|[{young}])").replace(r"[\p{L}]", rf"[\p{{L}}--[{young}]]").replace(r"[\p{N}]", rf"[\p{{N}}--[{young}]]")) if young else self.words
         symbols = byte_symbols()
         self.spell = {i: s for i, s in enumerate(symbols)}
         self.labels = [*self.machine.label]
@@ -155,6 +170,10 @@ class Tokenizer:
     def split(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # each character's lower case, whatever follows it
+            if self.young and self.young.search(text):
+                return self.young_words.findall(text.translate(LOWER).lower())
+            if self.capital.search(text):
+                text = text.translate(LOWER)
         return self.words.findall(text.lower())
 
     def _encode(self, text: str) -> bytes:

@@ -33,6 +33,16 @@ def test_encodes_and_decodes_as_the_library():
         assert mine.decode(ids) == ref.decode(want.ids, skip_special_tokens=False)
 
 
+def test_every_code_point():
+    """Beside letters, digits and marks, as the library does."""
+    ref, mine = Reference.from_file(PATH), bpe.Tokenizer(PATH)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x32000 or c % 97 == 0 or 0xE0000 <= c < 0xE0200)]
+    for a in range(0, len(points), 20_000):
+        texts = [f"a{chr(c)}b 1{chr(c)}2 .{chr(c)}." for c in points[a : a + 20_000]]
+        for text, want in zip(texts, ref.encode_batch(texts, add_special_tokens=False)):
+            assert np.frombuffer(mine.encode(text), "<u4").tolist() == want.ids, ascii(text)
+
+
 def test_documents(odd, odd_rows, empty):
     ref = Reference.from_file(PATH)
     got = bpe.encode_documents(odd, PATH, with_ids=True).collect()
