@@ -62,6 +62,23 @@ def quantile_returns(panel: DataFrame, factor: str, target: str, n: int = 5) ->
     return daily.groupBy("bucket").agg(F.avg("r").alias("mean_return"), F.count("*").alias("n_dates"))
 
 
+def icir_summary(stats: DataFrame) -> DataFrame:
+    """Mean, sample deviation, least, most and median ICIR of the factors, and how many have one."""
+    return stats.agg(F.avg("icir").alias("mean"), F.stddev_samp("icir").alias("std"), F.min("icir").alias("least"), F.max("icir").alias("most"), F.median("icir").alias("median"), F.count("icir").alias("n"))
+
+
+def top_factors(summary: DataFrame, k: int = 10, value: str = "mean") -> DataFrame:
+    """The k factors of the largest mean IC by size; ties by name."""
+    return summary.where(F.col(value).isNotNull()).orderBy(F.abs(value).desc(), "factor").limit(k)
+
+
+def nulls_by_item(panel: DataFrame, factors: list[str]) -> DataFrame:
+    """(item, factor, missing, total, rate) over all dates."""
+    long = unpivot(panel, factors, [ITEM, DATE])
+    out = long.groupBy(ITEM, "factor").agg(F.count_if(F.col("value").isNull()).alias("missing"), F.count("*").alias("total"))
+    return out.withColumn("rate", F.col("missing") / F.col("total"))
+
+
 def autocorr(panel: DataFrame, factor: str, least: int = 15) -> DataFrame:
     """Lag-1 autocorrelation of each item's values, averaged over items of enough of them."""
     w = Window.partitionBy(ITEM).orderBy(DATE)

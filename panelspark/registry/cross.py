@@ -106,10 +106,10 @@ WEAK_SQL = f"SELECT date, count(*) AS n FROM {MONTH_SQL} GROUP BY date HAVING co
 def lags(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cross.lag_fan_out(panel_with(spark, sf_dir, ["log_return_1"]), [("log_return_1", k) for k in cross.LAGS])
     names = [f"log_return_1_lag{k}" for k in cross.LAGS]
-    return rounded(out.where("date >= DATE'1996-01-01'").select("item_id", "date", *names), names)
+    return rounded(out.select("item_id", "date", *names), names)
 
 
-LAGS_SQL = f"SELECT * FROM (SELECT item_id, date, {', '.join(f'round(lag(log_return_1, {k}) OVER (PARTITION BY item_id ORDER BY date), 6) AS log_return_1_lag{k}' for k in cross.LAGS)} FROM {panel_sql(['log_return_1'])}) WHERE date >= DATE '1996-01-01'"
+LAGS_SQL = f"SELECT item_id, date, {', '.join(f'round(lag(log_return_1, {k}) OVER (PARTITION BY item_id ORDER BY date), 6) AS log_return_1_lag{k}' for k in cross.LAGS)} FROM {panel_sql(['log_return_1'])}"
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +176,22 @@ _lagged = f"(SELECT *, {', '.join(f'lag(momentum_5, {k}) OVER (PARTITION BY item
 _by_lag = " UNION ALL ".join(
     f"SELECT {k} AS lag, avg(ic) AS mean FROM (SELECT date, corr(rx, ry) AS ic FROM (SELECT date, {_rank_sql(f'l{k}', 'date')} AS rx, ry FROM (SELECT *, {_rank_sql('target_8d', 'date')} AS ry FROM {_lagged} WHERE target_8d IS NOT NULL) WHERE l{k} IS NOT NULL) GROUP BY date HAVING count(*) >= 20)" for k in (0, 1, 5)
 )
-IC_BY_LAG_SQL = f"SELECT 'momentum_5' AS factor, {', '.join(f'round(max(CASE WHEN lag = {k} THEN mean END), 6) AS lag_{k}' for k in (0, 1, 5))} FROM ({_by_lag})"
+IC_BY_LAG_SQL = f"SELECT 'momentum_5' AS factor, {', '.join(f'round(max(CASE WHEN lag = {k} THEN mean END), 6) AS lag_{k}' for k in (0, 1, 5))} FROM ({_by_lag}) HAVING count(mean) > 0"  # no date with enough rows: no row
+
+
+def icir_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = evaluation.ic_stats(evaluation.rank_ic(_ic_panel(spark, sf_dir), IC_FACTORS, "target_8d"))
+    return rounded(evaluation.icir_summary(stats), ["mean", "std", "least", "most", "median"])
+
+
+ICIR_SQL = f"SELECT round(avg(icir), 6) AS mean, round(stddev_samp(icir), 6) AS std, round(min(icir), 6) AS least, round(max(icir), 6) AS most, round(median(icir), 6) AS median, count(icir) AS n FROM (SELECT avg(ic) / stddev_samp(ic) AS icir FROM {_ics_sql(False)} GROUP BY factor HAVING count(ic) >= 5)"
+
+
+def nulls_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.nulls_by_item(_ic_panel(spark, sf_dir), IC_FACTORS), ["rate"])
+
+
+NULLS_BY_ITEM_SQL = " UNION ALL ".join(f"SELECT item_id, '{f}' AS factor, count(*) - count({f}) AS missing, count(*) AS total, round((count(*) - count({f})) / count(*), 6) AS rate FROM {panel_sql([*IC_FACTORS, 'target_8d'])} GROUP BY item_id" for f in IC_FACTORS)
 
 
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,7 +290,7 @@ def queries() -> dict:
     out = {k: _primitive(v) for k, v in PRIMITIVES.items()}
     return out | {
         "mad_winsorize": mad, "ols_neutralize": neutral, "zscore_date": z, "industry_demean": demean, "weak_dates": weak, "lag_fan_out": lags, "labels": labels, "calendar_target": calendar_target,
-        "rank_ic": _ic(False), "rank_ic_again": _ic(True), "ic_stats": ic_stats, "ic_by_lag": ic_by_lag, "quantile_returns": quantiles, "autocorr1": autocorr, "factor_score": score, "factor_correlations": correlations,
+        "rank_ic": _ic(False), "rank_ic_again": _ic(True), "ic_stats": ic_stats, "ic_by_lag": ic_by_lag, "icir_summary": icir_summary, "nulls_by_item": nulls_by_item, "quantile_returns": quantiles, "autocorr1": autocorr, "factor_score": score, "factor_correlations": correlations,
         "redundancy_filter": redundancy, "spearman_pooled": spearman, "precision_top": precision, "ndcg": ndcg, "null_profile": nulls,
     }
 
@@ -285,5 +300,5 @@ def oracle_sql() -> dict:
     ic = {k: f"SELECT date, factor, round(ic, 7) AS ic FROM {_ics_sql(again)} WHERE ic IS NOT NULL" for k, again in (("rank_ic", False), ("rank_ic_again", True))}
     return out | ic | {
         "mad_winsorize": MAD_SQL, "ols_neutralize": NEUTRAL_SQL, "zscore_date": Z_SQL, "industry_demean": DEMEAN_SQL, "weak_dates": WEAK_SQL, "lag_fan_out": LAGS_SQL, "labels": LABELS_SQL, "calendar_target": CALENDAR_SQL,
-        "ic_stats": IC_STATS_SQL, "ic_by_lag": IC_BY_LAG_SQL, "quantile_returns": QUANTILES_SQL, "autocorr1": AUTOCORR_SQL, "factor_correlations": CORRELATIONS_SQL, "spearman_pooled": SPEARMAN_SQL, "precision_top": PRECISION_SQL, "ndcg": NDCG_SQL, "null_profile": NULLS_SQL,
+        "ic_stats": IC_STATS_SQL, "ic_by_lag": IC_BY_LAG_SQL, "icir_summary": ICIR_SQL, "nulls_by_item": NULLS_BY_ITEM_SQL, "quantile_returns": QUANTILES_SQL, "autocorr1": AUTOCORR_SQL, "factor_correlations": CORRELATIONS_SQL, "spearman_pooled": SPEARMAN_SQL, "precision_top": PRECISION_SQL, "ndcg": NDCG_SQL, "null_profile": NULLS_SQL,
     }

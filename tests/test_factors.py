@@ -84,18 +84,47 @@ def test_ranks_in_time_and_distance_to_the_greatest(frame):
     same(got.m, by_item(p, lambda g: g.volume.rolling(7).apply(lambda w: len(w) - 1 - int(np.argmax(w)), raw=True)))
 
 
-def adx_pandas(g, n=14):
-    up, down, before = g.high.diff(), -g.low.diff(), g.close.shift()
-    plus, minus = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
-    tr = pd.concat([g.high - g.low, (g.high - before).abs(), (g.low - before).abs()], axis=1).max(axis=1)
-    w = lambda s: pd.Series(s, index=g.index).ewm(alpha=1 / n, adjust=False, min_periods=n).mean()
-    p, m = 100 * w(plus) / w(tr), 100 * w(minus) / w(tr)
-    return w(100 * (p - m).abs() / (p + m).replace(0, np.nan))
+def smoothed(values, n):
+    """Wilder's running mean, one value after the other; nothing until n values have come."""
+    out, mean, seen = [], None, 0
+    for value in values:
+        if value is not None:
+            seen += 1
+            mean = value if mean is None else mean + (value - mean) / n
+        out.append(mean if seen >= n else None)
+    return out
+
+
+def directional_index(bars, n=14):
+    """Wilder's definition, bar by bar: the larger of today's two moves outside yesterday's range counts, if it is outside at all."""
+    rises, falls, ranges, last = [], [], [], None
+    for bar in bars:
+        rise, fall, reach = 0.0, 0.0, bar.high - bar.low
+        if last is not None:
+            over, under = bar.high - last.high, last.low - bar.low
+            rise, fall = (over if over > max(under, 0.0) else 0.0), (under if under > max(over, 0.0) else 0.0)
+            reach = max(bar.high, last.close) - min(bar.low, last.close)
+        rises.append(rise), falls.append(fall), ranges.append(reach)
+        last = bar
+    strength = []
+    for rise, fall, reach in zip(*(smoothed(x, n) for x in (rises, falls, ranges))):
+        strength.append(None if not reach or rise + fall == 0 else 100 * abs(rise - fall) / (rise + fall))
+    return smoothed(strength, n)
 
 
 def test_directional_index(frame):
     p, df = frame
-    same(run(df, {"r": adx()}).r, by_item(p, adx_pandas), 1e-9)
+    want = [v for _, g in p.groupby("item_id") for v in directional_index(list(g.sort_values("date").itertuples()))]
+    same(run(df, {"r": adx()}).r, pd.Series([np.nan if v is None else v for v in want]), 1e-9)
+
+
+def test_roles_name_the_features(frame):
+    from panelspark.operators import roles
+
+    df = roles.with_roles(frame[1], key=["item_id", "date"], feature=["close", "volume"], target=["x"])
+    assert roles.columns(df.withColumn("label", F.col("x"))) == ["close", "volume"] and roles.columns(df, "key") == ["item_id", "date"]
+    with pytest.raises(ValueError):
+        roles.with_roles(df, feature=["nowhere"])
 
 
 def test_every_factor_and_alpha_has_values(spark):
