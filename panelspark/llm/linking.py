@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import store
 
 BROADCAST_ROWS = 200_000  # rows of one or two longs: a few MB
-ROUND, SALT, FEW = 16, 1_000, 20_000
+ROUND, SALT, FEW = 1_000, 1_000, 20_000
 
 
 def stored(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
