@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import store
+from panelspark.llm.common import release, store
 
 BROADCAST_ROWS = 200_000  # rows of one or two longs: a few MB
 ROUND, SALT, FEW = 1_000, 1_000, 20_000
@@ -110,6 +110,7 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketche
     met = members.join(heads, "grp").where(F.col("id") != F.col("a_id")).where(close("a_", ""))
     first = met.groupBy(F.col("id").alias("b")).agg(F.max_by("a_id", F.struct("a_pop", -F.col("a_id"))).alias("a")).select("a", "b")
     roots = components(checked(first)[0])
+    release(roots.sparkSession)
     done, turn = None, 0
     while True:
         rooted = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -133,4 +134,5 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketche
             roots = _merged(roots, found)
         own = lead.select("grp", F.col("a_id").alias("id"))
         done, _ = stored(own if done is None else done.unionByName(own), "led")
+        release(apart.sparkSession)  # what a round shuffled and broadcast is stored by now
         members, turn = rooted.select("grp", "id", "pop", *payload), turn + 1
