@@ -78,9 +78,30 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.codes import compressed
+
+    return compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.cosine import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.repair import repair
+
+    return repair(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_probminhash, op3_bpe, op4_toxicity, op5_licenses, op6_passages, op7_lines, op8_ctph, op9_mixing, op10_suffix)}
+    return {f.__name__: f for f in (op1_media, op2_probminhash, op3_bpe, op4_toxicity, op5_licenses, op6_passages, op7_lines, op8_ctph, op9_mixing, op10_suffix, op11_codes, op12_cosine, op13_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from panelspark.llm.codes import compressed_sql
+    from panelspark.llm.cosine import near_vectors_sql
+
+    return {"op11_codes": compressed_sql(), "op12_cosine": near_vectors_sql()}
