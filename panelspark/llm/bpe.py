@@ -148,8 +148,8 @@ class Tokenizer:
         # Characters younger than version 16.0 are no letters or digits to the library; the pattern engine here knows them.
         added = {c for a, z in ADDED for c in range(a, z + 1)}
         young = "".join(regex.findall(r"[\p{L}\p{N}]", "".join(chr(c) for c in range(0x80, 0x110000) if c not in added and unicodedata.category(chr(c)) == "Cn")))
-        self.capital = regex.compile("[" + "".join(map(chr, LOWER)) + "]")
-        self.young = regex.compile(f"[{young}]") if young else None
+        self.capital = frozenset(map(chr, LOWER))
+        self.young = frozenset(young)
         self.young_words = regex.compile("(?V1)" + pattern.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|[{young}])").replace(r"[\p{L}]", rf"[\p{{L}}--[{young}]]").replace(r"[\p{N}]", rf"[\p{{N}}--[{young}]]")) if young else self.words
         symbols = byte_symbols()
         self.spell = {i: s for i, s in enumerate(symbols)}
@@ -170,9 +170,9 @@ class Tokenizer:
     def split(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # each character's lower case, whatever follows it
-            if self.young and self.young.search(text):
+            if not self.young.isdisjoint(text):
                 return self.young_words.findall(text.translate(LOWER).lower())
-            if self.capital.search(text):
+            if not self.capital.isdisjoint(text):
                 text = text.translate(LOWER)
         return self.words.findall(text.lower())
 

@@ -49,3 +49,21 @@ def test_documents(odd, odd_rows, empty):
     want = sorted(((d is None, d or 0, hashlib.sha256(np.array(ref.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()) for d, t, *_ in odd_rows))
     assert sorted((r.doc_id is None, r.doc_id or 0, r.ids_sha256) for r in got) == want
     assert all(len(r.ids) == r.n_tokens for r in got) and bpe.encode_documents(empty, PATH).count() == 0
+
+
+def test_other_scripts_cost_no_more_than_twice():
+    """Per word: the tests for rare characters are a look at each character, not a search of a large class."""
+    import time
+
+    mine = bpe.Tokenizer(PATH)
+    plain = " ".join(["stone river", "under the bridge"] * 4_000)
+    other = plain.replace("stone", "st\u00f6ne")
+
+    def took(text):
+        mine.encode(text)
+        began = time.process_time()
+        for _ in range(5):
+            mine.encode(text)
+        return time.process_time() - began
+
+    assert min(took(other) for _ in range(3)) <= 2 * min(took(plain) for _ in range(3))
