@@ -170,7 +170,6 @@ def rounded(x, digits: int = 10) -> E:
 # Windows along an item's dates.
 
 
-
 def _t():
     """Made when a plan is: a window needs a session, a tree does not."""
     return Window.partitionBy(ITEM).orderBy(DATE)
@@ -242,7 +241,7 @@ def roll(kind: str, x, n: int, least: int | None = None) -> E:
 
 
 def cumsum(x) -> E:
-        return make("cumsum", "T", lambda v: F.sum(v).over(_t().rowsBetween(Window.unboundedPreceding, 0)), lambda v: f"sum({v}) OVER ({_T_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", x)
+    return make("cumsum", "T", lambda v: F.sum(v).over(_t().rowsBetween(Window.unboundedPreceding, 0)), lambda v: f"sum({v}) OVER ({_T_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", x)
 
 
 def _pair(x: Column, y: Column) -> tuple[Column, Column]:
@@ -317,36 +316,66 @@ def since_max(x, n: int) -> E:
     )
 
 
-EWM_LENGTH = 512
+SPAN, STEEPEST = 100.0, 300.0
+
+
+def _running(name: str, column: Callable[[Column], Column], text: str, x, upto: int = 0) -> E:
+    """An aggregate of all rows of an item up to `upto` rows after (before, if negative) the current one."""
+    end = "CURRENT ROW" if upto == 0 else f"{-upto} PRECEDING"
+    frame = f"({_T_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND {end})"
+    return make(name, "T", lambda v: column(v).over(_t().rowsBetween(Window.unboundedPreceding, upto)), lambda v: f"{text.format(v)} OVER {frame}", x, extra=(upto,))
 
 
 def ewm(x, alpha: float, least: int = 1) -> E:
     """Recursive mean y = y + alpha (x - y) from the first value on; a gap lets the old weight decay, as in pandas with adjust=False.
 
-    Folded over the values of an item up to each row. The fold looks back EWM_LENGTH rows at most where the weight that is
-    left beyond them, (1 - alpha) ** EWM_LENGTH, is under 1e-15; slower decay takes the whole prefix.
+    A prefix scan of affine maps y -> a y + b x. With c the running sum of -ln a, y is exp(-c) times the running sum of b x exp(c);
+    to keep exp(c) in range an item's rows are cut into blocks of SPAN in c, and c counts from its block's start. A block takes over the sum of the one before it,
+    times exp(-SPAN); what lies further back weighs under 1e-43. Each row is seen a fixed number of times, whatever the length or the gaps.
     """
-    back = EWM_LENGTH if (1 - alpha) ** EWM_LENGTH < 1e-15 else None
-    
-    def column(v: Column) -> Column:
-        zero = F.struct(F.lit(None).cast("double").alias("y"), F.lit(0.0).alias("old"), F.lit(0).alias("n"))
-
-        def step(s: Column, z: Column) -> Column:
-            x, y, old = z["x"], s["y"], s["old"] * (1 - alpha)
-            moved = F.struct(((old * y + alpha * x) / (old + alpha)).alias("y"), F.lit(1.0).alias("old"), (s["n"] + 1).alias("n"))
-            start = F.struct(x.alias("y"), F.lit(1.0).alias("old"), (s["n"] + 1).alias("n"))
-            stay = F.struct(y.alias("y"), old.alias("old"), s["n"].alias("n"))
-            return F.when(x.isNull(), stay).when(y.isNull(), start).otherwise(moved)
+    v = wrap(x)
+    at = make("row_number", "T", lambda _: F.row_number().over(_t()), lambda _: f"row_number() OVER ({_T_SQL})", v)
+    before = _running("last_at", F.max, "max({})", row("at", lambda x, i: F.when(x.isNotNull(), i), lambda x, i: f"CASE WHEN {x} IS NOT NULL THEN {i} END", v, at), -1)
+    keep = make("ewm_keep", "", lambda i, j: F.pow(F.lit(1 - alpha), i - j), lambda i, j: f"pow({1 - alpha!r}, {i} - {j})", at, before, extra=(alpha,))
+    step = make(
+        "ewm_step", "",
+        lambda x, k: F.when(x.isNull() | k.isNull(), 0.0).otherwise(F.least(F.log((k + alpha) / F.greatest(k, F.lit(1e-300))), F.lit(STEEPEST))),
+        lambda x, k: f"CASE WHEN {x} IS NULL OR {k} IS NULL THEN 0.0 ELSE least(ln(({k} + {alpha!r}) / greatest({k}, 1e-300)), {STEEPEST}) END",
+        v, keep, extra=(alpha,),
+    )
+    decay = cumsum(step)
+    block = row("ewm_block", lambda c: F.floor(c / SPAN), lambda c: f"floor({c} / {SPAN})", decay)
+    within = row("ewm_within", lambda c, b: c - b * SPAN, lambda c, b: f"({c} - {b} * {SPAN})", decay, block)
+    part = make(
+        "ewm_part", "",
+        lambda x, k, e: F.when(x.isNull(), 0.0).otherwise(F.when(k.isNull(), x).otherwise(x * alpha / (k + alpha)) * F.exp(e)),
+        lambda x, k, e: f"CASE WHEN {x} IS NULL THEN 0.0 ELSE CASE WHEN {k} IS NULL THEN {x} ELSE {x} * {alpha!r} / ({k} + {alpha!r}) END * exp({e}) END",
+        v, keep, within, extra=(alpha,),
+    )
+    own = make(
+        "ewm_own", "T",
+        lambda p, b: F.sum(p).over(Window.partitionBy(ITEM, b).orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)),
+        lambda p, b: f"sum({p}) OVER (PARTITION BY {ITEM}, {b} ORDER BY {DATE} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+        part, block,
+    )
+    last = make(
+        "ewm_last", "T",
+        lambda p, b: F.sum(p).over(Window.partitionBy(ITEM).orderBy(b).rangeBetween(-1, -1)),
+        lambda p, b: f"sum({p}) OVER (PARTITION BY {ITEM} ORDER BY {b} RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)",
+        part, block,
+    )
+    n = _running("seen", F.count, "count({})", v)
 
-        got = F.aggregate(F.collect_list(F.struct(v.alias("x"))).over(_t().rowsBetween(Window.unboundedPreceding if back is None else -back, 0)), zero, step, lambda s: F.when(s["n"] >= least, s["y"]))
-        return got
+    def column(_: Column, own: Column, last: Column, within: Column, n: Column) -> Column:
+        return F.when(n >= max(1, least), F.exp(-within) * (own + F.coalesce(last, F.lit(0.0)) * F.exp(F.lit(-SPAN))))
 
-    def text(v: str) -> str:
+    def text(v: str, *_: str) -> str:
+        """The recursion itself, value after value; for series without inner gaps."""
         frame = f"({_T_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
         state = f"list_reduce(list_filter(list({v}) OVER {frame}, lambda z: z IS NOT NULL), lambda y, z: y + {alpha!r} * (z - y))"
-        return f"(CASE WHEN count({v}) OVER {frame} >= {max(1, least)} THEN {state} END)"  # for series without inner gaps
+        return f"(CASE WHEN count({v}) OVER {frame} >= {max(1, least)} THEN {state} END)"
 
-    return make("ewm", "T", column, text, x, extra=(alpha, least))
+    return make("ewm", "T", column, text, v, own, last, within, n, extra=(alpha, least))
 
 
 # Windows across the items of a date.

@@ -67,6 +67,23 @@ def test_recursive_mean_with_gaps(frame, alpha, least):
     same(got.r, by_item(p, lambda g: g.x.ewm(alpha=alpha, adjust=False, min_periods=least).mean()), 1e-12)
 
 
+@pytest.mark.parametrize("alpha", [1e-6, 1 / 14, 0.5, 0.97, 1.0])
+def test_recursive_mean_of_long_and_sparse_series(spark, alpha):
+    """Against the recursion over the whole prefix: thousands of rows, gaps of hundreds, values of very different size, all missing."""
+    r = np.random.default_rng(7)
+    n = 3_000
+    day = [dt.date(2000, 1, 1) + dt.timedelta(days=k) for k in range(n)]
+    x = {"dense": r.normal(size=n), "sparse": np.where(r.random(n) < 0.02, r.normal(size=n) * 1e6, np.nan), "late": np.where(np.arange(n) < 2_500, np.nan, 1.0), "none": np.full(n, np.nan), "sizes": 10.0 ** r.integers(-12, 12, n)}
+    p = pd.DataFrame([(k, d, v) for k, vs in x.items() for d, v in zip(day, vs)], columns=["item_id", "date", "x"])
+    df = spark.createDataFrame([(k, d, None if np.isnan(v) else float(v)) for k, d, v in p.itertuples(index=False)], "item_id string, date date, x double")
+    plan = Plan({"r": ewm(col("x"), alpha, 14)})
+    got = plan.apply(df).toPandas().sort_values(["item_id", "date"])
+    want = p.sort_values(["item_id", "date"]).groupby("item_id").x.transform(lambda g: g.ewm(alpha=alpha, adjust=False, min_periods=14).mean())
+    np.testing.assert_allclose(got.r.to_numpy(float), want.to_numpy(float), rtol=1e-9)
+    text = plan.apply(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.exchanges == 1 and text.count("Exchange hashpartitioning") == 1 and "collect_list" not in text
+
+
 def test_correlations_in_pairs(frame):
     p, df = frame
     got = run(df, {"c": rcorr(col("x"), col("close"), 12, 8), "v": rcov(col("x"), col("close"), 12), "flat": rcorr(col("x") * 0, col("close"), 5, 3)})
