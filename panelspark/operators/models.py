@@ -1,7 +1,6 @@
-"""Ranking models on MLlib: gradient-boosted trees over relevance labels, validation runs, importance, inference.
+"""Pointwise models on MLlib: gradient-boosted trees over relevance labels, validation runs, importance, inference.
 
-The learning-to-rank booster the factor research uses elsewhere is optional (xgboost), as are SHAP values (shap); neither is
-needed here. Rows with a NULL feature are dropped before fitting.
+Learning to rank is in ranking.py, attributions of either kind of trees in explain.py. Rows with a NULL feature are dropped before fitting.
 """
 
 from __future__ import annotations
@@ -149,12 +148,3 @@ def missing_features(panel: DataFrame, features: list[str]) -> DataFrame:
     """(item_id, date, missing): which features keep a row out of inference."""
     gone = F.filter(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in features]), lambda x: x.isNotNull())
     return panel.select(ITEM, DATE, gone.alias("missing")).where(F.size("missing") > 0)
-
-
-def shap_values(model, rows, features):
-    """Needs the optional package shap."""
-    try:
-        import shap
-    except ImportError as e:
-        raise RuntimeError("shap is not installed; use permutation_importance") from e
-    return shap.TreeExplainer(model).shap_values(rows[features])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.base_factors import FACTORS
-from panelspark.operators import cross, models, splits
+from panelspark.operators import cross, explain, models, ranking, splits
 from panelspark.plans.planner import Plan
 from panelspark.sources import tables
 from panelspark.streaming import bars
@@ -80,14 +80,41 @@ def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.dropna(subset=[*FEATURES, "pct"])
 
 
+def parts(panel: DataFrame) -> dict[str, DataFrame]:
+    roles = splits.chronological(panel)
+    return {r: panel.join(F.broadcast(roles.where(F.col("role") == r).select("date")), "date", "left_semi") for r in ("train", "val", "test")}
+
+
 def gbt_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = dataset(spark, sf_dir)
-    roles = splits.chronological(p)
-    part = {r: p.join(F.broadcast(roles.where(F.col("role") == r).select("date")), "date", "left_semi") for r in ("train", "val", "test")}
-    model = models.fit(part["train"], FEATURES, "label", models.Params(trees=5, depth=3), part["val"])
+    part = parts(dataset(spark, sf_dir))
+    model = models.fit(part["train"], FEATURES, "label", models.Params(), part["val"])
     return models.inference_table(models.predict(model, part["test"], FEATURES)).select("item_id", "date", F.round("score", 6).alias("score"), F.round("rank_pct", 6).alias("rank_pct"), F.round("pct", 6).alias("actual_pct"))
 
 
+def ranker(spark: SparkSession, part: dict[str, DataFrame]) -> ranking.RankModel:
+    return ranking.fit_ranker(part["train"], FEATURES, "label", ranking.RankParams(), base(spark), part["val"], "pct")
+
+
+def rank_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the test dates by a model trained on NDCG, stopped on the validation dates' top accuracy."""
+    part = parts(dataset(spark, sf_dir))
+    table = models.inference_table(ranker(spark, part).predict(part["test"]))
+    return table.select("item_id", "date", F.round("score", 6).alias("score"), F.round("rank_pct", 6).alias("rank_pct"), F.round("pct", 6).alias("actual_pct"))
+
+
+def shap_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributions of every row of the panel under the ranking model."""
+    p = dataset(spark, sf_dir)
+    details = explain.explained(ranker(spark, parts(p)).trees, p, FEATURES)
+    return details.select("item_id", "date", *[F.round(c, 8).alias(c) for c in ("prediction", "base_value", *(f"shap_{f}" for f in FEATURES))])
+
+
+def shap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = dataset(spark, sf_dir)
+    out = explain.summary(explain.explained(ranker(spark, parts(p)).trees, p, FEATURES), FEATURES)
+    return out.select("rank", "feature", *[F.round(c, 8).alias(c) for c in ("mean_abs_shap", "mean_shap", "std_shap")])
+
+
 def perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = dataset(spark, sf_dir)
     model = models.fit(p, FEATURES, "label", models.Params())
@@ -115,7 +142,7 @@ def _missing_sql() -> str:
 
 
 def queries() -> dict:
-    return {"stream_bars": stream_bars, "stream_dedupe": stream_dedupe, "stream_upsert": stream_upsert, "stream_ewm": stream_ewm, "stream_activity": stream_activity, "gbt_rank": gbt_rank, "perm_importance": perm_importance, "model_purged_cv": purged_cv, "row_sample": row_sample, "missing_features": missing}
+    return {"stream_bars": stream_bars, "stream_dedupe": stream_dedupe, "stream_upsert": stream_upsert, "stream_ewm": stream_ewm, "stream_activity": stream_activity, "gbt_rank": gbt_rank, "rank_ndcg": rank_ndcg, "shap_details": shap_details, "shap_summary": shap_summary, "perm_importance": perm_importance, "model_purged_cv": purged_cv, "row_sample": row_sample, "missing_features": missing}
 
 
 def oracle_sql() -> dict:
