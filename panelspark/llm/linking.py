@@ -7,7 +7,9 @@ their group's largest component a few are elected, the most popular of each of s
 in other components; then components grow, groups of one component are done, and so on until no group has a member left
 outside its largest component that was not a leader. So two members of one group stay apart only if every pair between their components there was
 compared: the components equal those of all candidate pairs. A round compares about ROUND leaders with each
-member at most and writes the near ones alone, and a member leads in one round only, so no step grows with the square of a group.
+member at most and writes the near ones alone; a member leads in one round only, and who has led is not met again, so a pair is verified once
+at most after the first round. Pairs that pass the cheap test but lie in different components must all be verified: a group whose members are nearly, but not, alike costs
+as many verifications as it has such pairs.
 """
 
 from __future__ import annotations
@@ -126,9 +128,11 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketche
         rooted = rooted.join(apart.select("grp").distinct(), "grp", "left_semi")
         leaders = max(1, min(4**turn, max(enough, ROUND * n) // rest))
         chosen = _elected(apart, ["grp", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(leaders)).alias("_class")], [], "").select("id").distinct()
-        lead = apart.join(chosen, "id", "left_semi")  # in all its groups at once, so that no pair is met again later
+        lead = apart.join(chosen, "id", "left_semi")  # in all its groups at once
         lead, _ = stored(lead.select("grp", *[F.col(c).alias(f"a_{c}") for c in ("id", "root", *payload)]), "leaders")
-        new = rooted.join(lead, "grp").where((F.col("root") != F.col("a_root")) & close("a_", "")).select(F.col("a_id").alias("a"), F.col("id").alias("b"))
+        # Who led in a group has met all its members of other components: no pair is met again.
+        target = rooted if done is None else rooted.join(done, ["grp", "id"], "left_anti")
+        new = target.join(lead, "grp").where((F.col("root") != F.col("a_root")) & close("a_", "")).select(F.col("a_id").alias("a"), F.col("id").alias("b"))
         found, some = checked(new)
         if some:
             roots = _merged(roots, found)
