@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelspark.sources.versions import Version, VersionedTable
+
+# Field names of candle files and catalogs.
 CANDLE = T.StructType([T.StructField(n, T.StringType()) for n in ("t", "o", "c", "h", "l", "v", "turnover")])
 CATALOG = "marketHashName string, name string, shortName string, platformList array<struct<name:string,itemId:string>>, rarity string, category string, steamdt_typeVal string"
 
@@ -115,7 +118,7 @@ def resolve_catalog(catalog: DataFrame, platform: str) -> DataFrame:
 
 
 def csv_report(df: DataFrame, path: str) -> None:
-    """A report as one CSV file with a header; for small tables."""
+    """A report as one CSV file with a header; for small tables. What was there goes first: see dataset_sink for whole replacement."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -123,7 +126,12 @@ def json_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def dataset_sink(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """Parquet, partitioned by columns if asked; the committer puts whole files in place or none."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
+def json_reports(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Report files that hold a JSON object or array each, with the file's name as `report`; give the schema of known ones."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.option("multiLine", True).json(path).withColumn("report", F.col("_metadata.file_name"))
+
+
+def dataset_sink(df: DataFrame, path: str, by: list[str] | None = None) -> Version:
+    """Parquet, partitioned by columns if asked, as the next version of the table at path: all of it or none (sources/versions.py reads it)."""
+    return VersionedTable(df.sparkSession, path).replace(df, by)
