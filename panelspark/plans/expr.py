@@ -25,6 +25,7 @@ class E:
     axis: str  # "", "T" or "X"
     column: Callable[..., Column] = field(repr=False)
     text: Callable[..., str] = field(repr=False)
+    reach: tuple[int | None, int] = (0, 0)  # rows before and after the current one that a "T" window takes; None: all
 
     def __add__(self, other):
         return add(self, other)
@@ -70,9 +71,10 @@ def wrap(x) -> E:
     return x if isinstance(x, E) else lit(x)
 
 
-def make(name: str, axis: str, column, text, *args, extra: tuple = ()) -> E:
+def make(name: str, axis: str, column, text, *args, extra: tuple = (), reach: tuple[int | None, int] | None = None) -> E:
+    """reach: of a "T" window; unless said, all rows before."""
     own = tuple(wrap(a) for a in args)
-    return E(f"{name}({', '.join([*(a.key for a in own), *map(repr, extra)])})", own, axis, column, text)
+    return E(f"{name}({', '.join([*(a.key for a in own), *map(repr, extra)])})", own, axis, column, text, reach or ((None, 0) if axis == "T" else (0, 0)))
 
 
 def row(name: str, column, text, *args) -> E:
@@ -187,11 +189,11 @@ def _frame(n: int):
 
 
 def lag(x, k: int = 1) -> E:
-    return make("lag", "T", lambda v: F.lag(v, k).over(_t()), lambda v: f"lag({v}, {k}) OVER ({_T_SQL})", x, extra=(k,))
+    return make("lag", "T", lambda v: F.lag(v, k).over(_t()), lambda v: f"lag({v}, {k}) OVER ({_T_SQL})", x, extra=(k,), reach=(max(k, 0), max(-k, 0)))
 
 
 def lead(x, k: int = 1) -> E:
-    return make("lead", "T", lambda v: F.lead(v, k).over(_t()), lambda v: f"lead({v}, {k}) OVER ({_T_SQL})", x, extra=(k,))
+    return make("lead", "T", lambda v: F.lead(v, k).over(_t()), lambda v: f"lead({v}, {k}) OVER ({_T_SQL})", x, extra=(k,), reach=(max(-k, 0), max(k, 0)))
 
 
 def delta(x, k: int = 1) -> E:
@@ -237,7 +239,7 @@ def roll(kind: str, x, n: int, least: int | None = None) -> E:
             return f"(CASE WHEN min({v}) OVER {w_sql} = max({v}) OVER {w_sql} THEN CASE WHEN count({v}) OVER {w_sql} >= {max(least, 1 + (kind == 'std1'))} THEN 0.0 END ELSE {out} END)"
         return f"({out})"
 
-    return make(f"roll_{kind}", "T", column, text, x, extra=(n, least))
+    return make(f"roll_{kind}", "T", column, text, x, extra=(n, least), reach=(n - 1, 0))
 
 
 def cumsum(x) -> E:
@@ -268,7 +270,7 @@ def rcorr(x, y, n: int, least: int | None = None, flat: float | None = 0.0) -> E
         corr = f"round(covar_pop({p}, {q}) OVER {w_sql} / nullif(stddev_pop({p}) OVER {w_sql} * stddev_pop({q}) OVER {w_sql}, 0), 10)"
         return f"(CASE WHEN count({p}) OVER {w_sql} >= {least} THEN CASE WHEN {still} THEN {'CAST(NULL AS DOUBLE)' if flat is None else flat} ELSE {corr} END END)"
 
-    return make("rcorr", "T", column, text, x, y, extra=(n, least, flat))
+    return make("rcorr", "T", column, text, x, y, extra=(n, least, flat), reach=(n - 1, 0))
 
 
 def rcov(x, y, n: int) -> E:
@@ -284,7 +286,7 @@ def rcov(x, y, n: int) -> E:
         both = f"{a} IS NOT NULL AND {b} IS NOT NULL"
         return f"(CASE WHEN count(CASE WHEN {both} THEN 1 END) OVER {w_sql} >= {n} THEN round(covar_samp({a}, {b}) OVER {w_sql}, 10) END)"
 
-    return make("rcov", "T", column, text, x, y, extra=(n,))
+    return make("rcov", "T", column, text, x, y, extra=(n,), reach=(n - 1, 0))
 
 
 def tsrank(x, n: int) -> E:
@@ -302,7 +304,7 @@ def tsrank(x, n: int) -> E:
         got = f"list({v}) OVER {w_sql}"
         return f"(CASE WHEN count({v}) OVER {w_sql} = {n} THEN (len(list_filter({got}, lambda z: z < {v})) + (len(list_filter({got}, lambda z: z = {v})) + 1) / 2.0 - 1) / {n - 1} END)"
 
-    return make("tsrank", "T", column, text, x, extra=(n,))
+    return make("tsrank", "T", column, text, x, extra=(n,), reach=(n - 1, 0))
 
 
 def since_max(x, n: int) -> E:
@@ -312,7 +314,7 @@ def since_max(x, n: int) -> E:
         "since_max", "T",
         lambda v: F.when(F.size(F.collect_list(v).over(frame())) == n, n - F.array_position(F.collect_list(v).over(frame()), F.max(v).over(frame()))).cast("double"),
         lambda v: f"CAST(CASE WHEN count({v}) OVER {w_sql} = {n} THEN {n} - list_position(list({v}) OVER {w_sql}, max({v}) OVER {w_sql}) END AS DOUBLE)",
-        x, extra=(n,),
+        x, extra=(n,), reach=(n - 1, 0),
     )
 
 
