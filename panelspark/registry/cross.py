@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.base_factors import FACTORS
 from panelspark.operators import cross, evaluation
+from panelspark.operators.asof import asof_join
 from panelspark.operators.bars import weak_dates
 from panelspark.plans.expr import col, csrank, lag, roll, scale, since_max, tsrank
 from panelspark.plans.planner import Plan
+from panelspark.plans.registry import Registry
 from panelspark.sources import tables
 from panelspark.sources.tables import MONTH_SQL
 
@@ -166,17 +168,67 @@ IC_STATS_SQL = f"SELECT factor, round(avg(ic), 6) AS mean, round(stddev_samp(ic)
 
 def ic_by_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean IC of one factor at each lag, as a matrix with a column per lag."""
-    p = cross.lag_fan_out(_ic_panel(spark, sf_dir), [("momentum_5", k) for k in (0, 1, 5)])
-    long = evaluation.ic_summary(evaluation.rank_ic(p, [f"momentum_5_lag{k}" for k in (0, 1, 5)], "target_8d"))
+    p = cross.lag_fan_out(_ic_panel(spark, sf_dir), [("momentum_5", k) for k in cross.LAGS])
+    long = evaluation.ic_summary(evaluation.rank_ic(p, [f"momentum_5_lag{k}" for k in cross.LAGS], "target_8d"))
     long = long.select(F.regexp_extract("factor", "^(.*)_lag\\d+$", 1).alias("factor"), F.regexp_extract("factor", "_lag(\\d+)$", 1).cast("int").alias("lag"), "mean")
-    return long.groupBy("factor").pivot("lag", [0, 1, 5]).agg(F.first("mean")).select("factor", *[F.round(F.col(f"`{k}`"), 6).alias(f"lag_{k}") for k in (0, 1, 5)])
+    return long.groupBy("factor").pivot("lag", list(cross.LAGS)).agg(F.first("mean")).select("factor", *[F.round(F.col(f"`{k}`"), 6).alias(f"lag_{k}") for k in cross.LAGS])
 
 
-_lagged = f"(SELECT *, {', '.join(f'lag(momentum_5, {k}) OVER (PARTITION BY item_id ORDER BY date) AS l{k}' for k in (0, 1, 5))} FROM {panel_sql([*IC_FACTORS, 'target_8d'])})"
+_lagged = f"(SELECT *, {', '.join(f'lag(momentum_5, {k}) OVER (PARTITION BY item_id ORDER BY date) AS l{k}' for k in cross.LAGS)} FROM {panel_sql([*IC_FACTORS, 'target_8d'])})"
 _by_lag = " UNION ALL ".join(
-    f"SELECT {k} AS lag, avg(ic) AS mean FROM (SELECT date, corr(rx, ry) AS ic FROM (SELECT date, {_rank_sql(f'l{k}', 'date')} AS rx, ry FROM (SELECT *, {_rank_sql('target_8d', 'date')} AS ry FROM {_lagged} WHERE target_8d IS NOT NULL) WHERE l{k} IS NOT NULL) GROUP BY date HAVING count(*) >= 20)" for k in (0, 1, 5)
+    f"SELECT {k} AS lag, avg(ic) AS mean FROM (SELECT date, corr(rx, ry) AS ic FROM (SELECT date, {_rank_sql(f'l{k}', 'date')} AS rx, ry FROM (SELECT *, {_rank_sql('target_8d', 'date')} AS ry FROM {_lagged} WHERE target_8d IS NOT NULL) WHERE l{k} IS NOT NULL) GROUP BY date HAVING count(*) >= 20)" for k in cross.LAGS
 )
-IC_BY_LAG_SQL = f"SELECT 'momentum_5' AS factor, {', '.join(f'round(max(CASE WHEN lag = {k} THEN mean END), 6) AS lag_{k}' for k in (0, 1, 5))} FROM ({_by_lag}) HAVING count(mean) > 0"  # no date with enough rows: no row
+IC_BY_LAG_SQL = f"SELECT 'momentum_5' AS factor, {', '.join(f'round(max(CASE WHEN lag = {k} THEN mean END), 6) AS lag_{k}' for k in cross.LAGS)} FROM ({_by_lag}) HAVING count(mean) > 0"  # no date with enough rows: no row
+
+
+def top_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten factors of the largest mean IC by size, unlagged."""
+    summary = evaluation.ic_summary(evaluation.rank_ic(_ic_panel(spark, sf_dir), IC_FACTORS, "target_8d"))
+    return rounded(evaluation.top_factors(summary.select("factor", "mean", F.col("count").alias("n"))), ["mean"])
+
+
+TOP_FACTORS_SQL = f"SELECT factor, round(avg(ic), 6) AS mean, count(ic) AS n FROM {_ics_sql(False)} GROUP BY factor HAVING count(ic) > 0 ORDER BY abs(avg(ic)) DESC, factor LIMIT 10"
+
+BETWEEN = ["momentum_5", "return_skew_20", "bollinger_z_20", "donchian_pos_20"]
+
+
+def factor_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two years of factors; bars before them are read as far back as the windows look."""
+    out = Plan({n: FACTORS[n] for n in BETWEEN} | {"r": csrank(lag(csrank(col("close")), 2))}).between(tables.month_panel(spark, sf_dir), "1998-01-01", "1999-12-31")
+    return rounded(out, [*BETWEEN, "r"])
+
+
+BETWEEN_SQL = f"SELECT item_id, date, {', '.join(f'round({n}, 6) AS {n}' for n in [*BETWEEN, 'r'])} FROM ({Plan({n: FACTORS[n] for n in BETWEEN} | {'r': csrank(lag(csrank(col('close')), 2))}).sql(MONTH_SQL)}) WHERE date BETWEEN DATE '1998-01-01' AND DATE '1999-12-31'"
+
+
+def _registry() -> Registry:
+    mine = Registry(FACTORS)
+    mine.factor("calm_momentum", deps=["momentum_20", "realized_vol_20"], window=4)(lambda m, v: roll("avg", m / v, 5, 1))
+    mine.factor("calm_rank", deps=["calm_momentum"])(csrank)
+    return mine
+
+
+def user_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Factors of a user's own beside a built-in one, in one plan."""
+    names = ["calm_momentum", "calm_rank", "momentum_20"]
+    return rounded(_registry().plan(names).apply(tables.month_panel(spark, sf_dir)), names)
+
+
+USER_FACTOR_SQL = f"SELECT item_id, date, {', '.join(f'round({n}, 6) AS {n}' for n in ('calm_momentum', 'calm_rank', 'momentum_20'))} FROM ({_registry().plan(['calm_momentum', 'calm_rank', 'momentum_20']).sql(MONTH_SQL)})"
+
+
+def asof_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line's supplier as last known when it was shipped: the last complete row of features of a month that was over."""
+    known = panel_with(spark, sf_dir, SOME).dropna(subset=SOME).select("item_id", F.add_months("date", 1).alias("known"), *SOME)
+    lines = tables.load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("item_id"), "l_orderkey", "l_linenumber", "l_shipdate")
+    out = asof_join(lines, known, ["item_id"], "l_shipdate", "known", SOME)
+    return rounded(out.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")), SOME)
+
+
+ASOF_SQL = f"""
+WITH k AS (SELECT item_id, CAST(date + INTERVAL 1 MONTH AS DATE) AS known, {', '.join(SOME)} FROM {panel_sql(SOME)} WHERE {' AND '.join(f'{f} IS NOT NULL' for f in SOME)}),
+l AS (SELECT CAST(l_suppkey AS VARCHAR) AS item_id, l_orderkey, l_linenumber, l_shipdate FROM lineitem)
+SELECT l.item_id, l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate, known, {', '.join(f'round({f}, 6) AS {f}' for f in SOME)} FROM l ASOF LEFT JOIN k ON l.item_id = k.item_id AND l.l_shipdate >= k.known"""
 
 
 def icir_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,6 +344,7 @@ def queries() -> dict:
         "mad_winsorize": mad, "ols_neutralize": neutral, "zscore_date": z, "industry_demean": demean, "weak_dates": weak, "lag_fan_out": lags, "labels": labels, "calendar_target": calendar_target,
         "rank_ic": _ic(False), "rank_ic_again": _ic(True), "ic_stats": ic_stats, "ic_by_lag": ic_by_lag, "icir_summary": icir_summary, "nulls_by_item": nulls_by_item, "quantile_returns": quantiles, "autocorr1": autocorr, "factor_score": score, "factor_correlations": correlations,
         "redundancy_filter": redundancy, "spearman_pooled": spearman, "precision_top": precision, "ndcg": ndcg, "null_profile": nulls,
+        "top_factors": top_factors, "factor_between": factor_between, "user_factor": user_factor, "asof_features": asof_features,
     }
 
 
@@ -301,4 +354,5 @@ def oracle_sql() -> dict:
     return out | ic | {
         "mad_winsorize": MAD_SQL, "ols_neutralize": NEUTRAL_SQL, "zscore_date": Z_SQL, "industry_demean": DEMEAN_SQL, "weak_dates": WEAK_SQL, "lag_fan_out": LAGS_SQL, "labels": LABELS_SQL, "calendar_target": CALENDAR_SQL,
         "ic_stats": IC_STATS_SQL, "ic_by_lag": IC_BY_LAG_SQL, "icir_summary": ICIR_SQL, "nulls_by_item": NULLS_BY_ITEM_SQL, "quantile_returns": QUANTILES_SQL, "autocorr1": AUTOCORR_SQL, "factor_correlations": CORRELATIONS_SQL, "spearman_pooled": SPEARMAN_SQL, "precision_top": PRECISION_SQL, "ndcg": NDCG_SQL, "null_profile": NULLS_SQL,
+        "top_factors": TOP_FACTORS_SQL, "factor_between": BETWEEN_SQL, "user_factor": USER_FACTOR_SQL, "asof_features": ASOF_SQL,
     }

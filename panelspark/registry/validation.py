@@ -66,7 +66,7 @@ FOLD_ROWS_SQL = f"SELECT date, count(*) AS n FROM {MONTH_SQL} WHERE date IN (SEL
 
 
 def deflated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trials: mean monthly return of each market segment's... here of each nation's suppliers."""
+    """Trials: monthly returns of each nation's suppliers, mean over deviation."""
     p = cross.forward_return(tables.month_panel(spark, sf_dir), 1)
     nation = tables.load(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("item_id"), "s_nationkey")
     trials = p.join(nation, "item_id").groupBy("s_nationkey").agg(F.try_divide(F.avg("target_1d"), F.stddev_samp("target_1d")).alias("value"))
@@ -146,12 +146,15 @@ s AS (SELECT count(*) AS n_days, arg_max(value, date) AS final, stddev_pop(r) *
 SELECT n_days, round(final, 6) AS final, round(final - 1, 6) AS total_return, round(power(final, 365.0 / n_days) - 1, 6) AS annual_return, round(volatility, 6) AS volatility, round(CASE WHEN volatility > 0 THEN (power(final, 365.0 / n_days) - 1) / volatility ELSE 0 END, 6) AS sharpe, round(max_drawdown, 6) AS max_drawdown FROM s"""
 
 
+SIZES = [60, 120, 180, 220]
+
+
 def bench(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = scored(spark, sf_dir)
-    return backtest.benchmarks(p, backtest.calendar(START, END, p), [60], "target_3d", CONFIG).select("date", F.round("value", 8).alias("value"))
+    return backtest.benchmarks(p, backtest.calendar(START, END, p), SIZES, "target_3d", CONFIG).select("n", "date", F.round("value", 8).alias("value"))
 
 
-BENCH_SQL = _curve_sql(_rets(60, 0, "target", "target IS NOT NULL"))
+BENCH_SQL = " UNION ALL ".join(f"SELECT {n} AS n, * FROM ({_curve_sql(_rets(n, 0, 'target', 'target IS NOT NULL'))})" for n in SIZES)
 
 
 def cover(spark: SparkSession, sf_dir: str) -> DataFrame:

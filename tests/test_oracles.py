@@ -11,7 +11,7 @@ from panelspark import catalog
 
 SF = "/root/testdata/sf0.001"
 QUERIES, TWINS = catalog.queries(), catalog.oracle_sql()
-SLOW = {"perm_importance", "model_purged_cv", "gbt_rank", "rank_ndcg", "shap_details", "shap_summary"}
+SLOW = {"perm_importance", "model_purged_cv", "gbt_rank", "rank_ndcg", "asof_scores", "shap_details", "shap_summary"}
 
 
 @pytest.fixture(scope="module")
