@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.operators import mapping, merge, quality
+from panelspark.operators.changes import ChangeSet
 from panelspark.sources import files, tables
 from panelspark.sources.tables import HOUR_SQL, load
 
@@ -226,6 +227,37 @@ def dup_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DUP_SQL = "SELECT n, count(*) AS keys FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) GROUP BY n"
 
+# Change sets: customers as a plan for the table of suppliers. Nations may change, balances are filled where they are missing, names stay.
+
+
+def _change_set(spark: SparkSession, sf_dir: str) -> ChangeSet:
+    def shaped(name: str, p: str, key: str) -> DataFrame:
+        t = load(spark, sf_dir, name)
+        return t.select(F.col(key).alias("id"), F.col(f"{p}_name").alias("name"), F.col(f"{p}_nationkey").alias("nation"), F.when(F.col(f"{p}_acctbal") >= 0, F.col(f"{p}_acctbal")).alias("balance"))
+
+    return ChangeSet(shaped("supplier", "s", "s_suppkey"), shaped("customer", "c", "c_custkey"), "id", replace=("nation",))
+
+
+_CHANGE_TABLES = "a AS (SELECT s_suppkey AS id, s_name AS name, s_nationkey AS nation, CASE WHEN s_acctbal >= 0 THEN s_acctbal END AS balance FROM supplier), b AS (SELECT c_custkey AS id, c_name AS name, c_nationkey AS nation, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS balance FROM customer)"
+
+
+def change_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _change_set(spark, sf_dir).changes().withColumnRenamed("column", "field")
+
+
+CHANGES_SQL = f"WITH {_CHANGE_TABLES} " + " UNION ALL ".join(
+    f"SELECT b.id, '{c}' AS field, CASE WHEN a.id IS NULL THEN 'insert' WHEN a.{c} IS NULL THEN 'fill' ELSE '{'replace' if c == 'nation' else 'conflict'}' END AS change, CAST(a.{c} AS VARCHAR) AS before, CAST(b.{c} AS VARCHAR) AS after FROM b LEFT JOIN a ON a.id = b.id WHERE b.{c} IS NOT NULL AND a.{c} IS DISTINCT FROM b.{c}"
+    for c in ("name", "nation", "balance")
+)
+
+
+def change_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _change_set(spark, sf_dir).applied()
+
+
+APPLIED_SQL = f"WITH {_CHANGE_TABLES} SELECT coalesce(a.id, b.id) AS id, coalesce(a.name, b.name) AS name, coalesce(b.nation, a.nation) AS nation, coalesce(a.balance, b.balance) AS balance FROM a FULL JOIN b ON a.id = b.id"
+
+
 # Sets and ordering.
 
 
@@ -293,7 +325,7 @@ _ALL = {
     "upsert_skip_open": (upsert_skip_open, UPSERT_SQL), "upsert_stats": (upsert_counts, COUNTS_SQL), "upsert_max_volume": (upsert_max_volume, MAX_VOLUME_SQL), "coverage": (coverage, COVERAGE_SQL), "progress_view": (progress, PROGRESS_SQL),
     "tier_expand": (tier_expand, TIER_SQL), "id_assign": (id_assign, ID_SQL), "anti_new_items": (anti_new, NEW_SQL), "name_enrich": (name_enrich, NAME_SQL), "nest_variants": (nest_variants, NEST_SQL), "parse_names": (parse_names, PARSE_SQL),
     "match_any_key": (match_any, MATCH_SQL), "gap_marking": (gaps, GAPS_SQL), "outer_enrich": (enrich, ENRICH_SQL), "distribution_cube": (distribution, DISTRIBUTION_SQL), "catalog_report": (report, REPORT_SQL), "limited_variants": (limited, LIMITED_SQL),
-    "dq_suite": (dq_suite, DQ_SQL), "dup_profile": (dup_profile, DUP_SQL), "set_operations": (set_operations, SETS_SQL), "top_sorted": (top_sorted, TOP_SQL), "section_parse": (section_parse, SECTION_SQL), "raw_candles": (raw_candles, RAW_SQL), "catalog_resolve": (catalog_resolve, RESOLVE_SQL),
+    "change_report": (change_report, CHANGES_SQL), "change_applied": (change_applied, APPLIED_SQL), "dq_suite": (dq_suite, DQ_SQL), "dup_profile": (dup_profile, DUP_SQL), "set_operations": (set_operations, SETS_SQL), "top_sorted": (top_sorted, TOP_SQL), "section_parse": (section_parse, SECTION_SQL), "raw_candles": (raw_candles, RAW_SQL), "catalog_resolve": (catalog_resolve, RESOLVE_SQL),
 }
 
 

@@ -59,6 +59,15 @@ def stream_ewm(spark: SparkSession, sf_dir: str) -> DataFrame:
 STREAM_EWM_SQL = "SELECT CAST(user_id AS VARCHAR) AS item_id, event_id, round(list_reduce(list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda y, x: y + 0.1::DOUBLE * (x - y)), 8) AS mean FROM events"
 
 
+def stream_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same mean for events that may come late: each one once no earlier one can come."""
+    out = bars.drain(bars.ordered_mean(bars.event_stream(spark, sf_dir), 0.1), base(spark), conf=bars.ROCKS)
+    return out.withColumn("mean", F.round("mean", 8))
+
+
+STREAM_ORDERED_SQL = f"SELECT item_id, event_id, mean FROM ({STREAM_EWM_SQL}) JOIN (SELECT event_id, ts FROM events) USING (event_id) WHERE epoch_ms(ts) <= (SELECT max(epoch_ms(ts)) - 3600000 FROM events)"
+
+
 def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bars.drain(bars.activity(bars.event_stream(spark, sf_dir)), base(spark))
     return out.select("item_id", F.date_format("first", "yyyy-MM-dd HH:mm:ss").alias("first"), "n")
@@ -160,8 +169,8 @@ def _missing_sql() -> str:
 
 
 def queries() -> dict:
-    return {"stream_bars": stream_bars, "stream_dedupe": stream_dedupe, "stream_upsert": stream_upsert, "stream_ewm": stream_ewm, "stream_activity": stream_activity, "gbt_rank": gbt_rank, "rank_ndcg": rank_ndcg, "asof_scores": asof_scores, "shap_details": shap_details, "shap_summary": shap_summary, "perm_importance": perm_importance, "model_purged_cv": purged_cv, "row_sample": row_sample, "missing_features": missing}
+    return {"stream_bars": stream_bars, "stream_dedupe": stream_dedupe, "stream_upsert": stream_upsert, "stream_ewm": stream_ewm, "stream_ordered": stream_ordered, "stream_activity": stream_activity, "gbt_rank": gbt_rank, "rank_ndcg": rank_ndcg, "asof_scores": asof_scores, "shap_details": shap_details, "shap_summary": shap_summary, "perm_importance": perm_importance, "model_purged_cv": purged_cv, "row_sample": row_sample, "missing_features": missing}
 
 
 def oracle_sql() -> dict:
-    return {"stream_bars": STREAM_BARS_SQL, "stream_dedupe": STREAM_DEDUPE_SQL, "stream_upsert": STREAM_UPSERT_SQL, "stream_ewm": STREAM_EWM_SQL, "stream_activity": STREAM_ACTIVITY_SQL, "missing_features": _missing_sql()}
+    return {"stream_bars": STREAM_BARS_SQL, "stream_dedupe": STREAM_DEDUPE_SQL, "stream_upsert": STREAM_UPSERT_SQL, "stream_ewm": STREAM_EWM_SQL, "stream_ordered": STREAM_ORDERED_SQL, "stream_activity": STREAM_ACTIVITY_SQL, "missing_features": _missing_sql()}

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from panelspark.operators.merge import upsert_larger
 
@@ -69,8 +70,89 @@ def running_mean(ticks: DataFrame, alpha: float) -> DataFrame:
     return ticks.select("item_id", "ts", "event_id", "px").groupBy("item_id").applyInPandasWithState(step, "item_id string, event_id long, mean double", "mean double", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, base: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and return what it wrote, as a table in the shared folder `base`."""
+class OrderedMean(StatefulProcessor):
+    """Holds an item's events back until the watermark has passed them, then folds them in order of (ts, event_id).
+
+    State: a list of the events that wait, the mean so far. One timer an item, at its earliest waiting event; when it expires all events up to
+    the watermark are folded and handed on, and the timer is set to the next one that waits.
+    """
+
+    def __init__(self, alpha: float) -> None:
+        self.alpha = alpha
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts timestamp, event_id long, px double")
+        self.mean = handle.getValueState("mean", "mean double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [r for frame in rows for r in frame[["ts", "event_id", "px"]].itertuples(index=False, name=None)]
+        self.waiting.appendList([(t.to_pydatetime(), int(e), None if p != p else float(p)) for t, e, p in new])
+        self._set_timer(min(_millis(t) for t, _, _ in new))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs()
+        held = sorted(((r[0], r[1], r[2]) for r in self.waiting.get()), key=lambda r: (r[0], r[1]))
+        due = [r for r in held if _millis(r[0]) <= until]
+        rest = held[len(due) :]
+        if rest:
+            self.waiting.put(rest)
+            self._set_timer(_millis(rest[0][0]))
+        else:
+            self.waiting.clear()
+        mean = self.mean.get()[0] if self.mean.exists() else None
+        out = []
+        for _, _, x in due:
+            if x is not None:
+                mean = x if mean is None else mean + self.alpha * (x - mean)
+            out.append(mean)
+        if mean is not None:
+            self.mean.update((mean,))
+        if due:
+            yield pd.DataFrame({"item_id": key[0], "event_id": [r[1] for r in due], "mean": pd.array(out, "Float64")})
+
+    def _set_timer(self, at: int) -> None:
+        for t in list(self.handle.listTimers()):
+            if t <= at:
+                return
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(at)
+
+    def close(self) -> None:
+        pass
+
+
+def _millis(t) -> int:
+    return int(pd.Timestamp(t).timestamp() * 1000)
+
+
+def ordered_mean(ticks: DataFrame, alpha: float, late: str = "1 hour") -> DataFrame:
+    """running_mean for events that come out of order by less than `late`: the mean of the events in order of time, whatever the order they came in.
+
+    An event's mean comes once the watermark has passed it; what is later than that is dropped, as watermarks do. Needs the RocksDB state store.
+    """
+    rows = ticks.select("item_id", "ts", "event_id", "px").withWatermark("ts", late)
+    return rows.groupBy("item_id").transformWithStateInPandas(OrderedMean(alpha), "item_id string, event_id long, mean double", "append", "eventTime")
+
+
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def drain(stream: DataFrame, base: str, mode: str = "append", conf: dict[str, str] | None = None) -> DataFrame:
+    """Run a stream over what is there and return what it wrote, as a table in the shared folder `base`. conf: settings for this query alone."""
+    session, before = stream.sparkSession, {}
+    for k, v in (conf or {}).items():
+        before[k] = session.conf.get(k, None)
+        session.conf.set(k, v)
+    try:
+        return _drained(stream, base, mode)
+    finally:
+        for k, v in before.items():
+            session.conf.unset(k) if v is None else session.conf.set(k, v)
+
+
+def _drained(stream: DataFrame, base: str, mode: str) -> DataFrame:
     run = f"{base}/stream-{uuid.uuid4().hex}"
     q = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{run}/state").format("parquet").option("path", f"{run}/out").start()
     q.awaitTermination()

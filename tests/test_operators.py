@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import math
 
+import numpy as np
 import pytest
 
 from panelspark.operators import backtest, mapping, merge, models, quality, splits, stats
@@ -217,3 +218,30 @@ def test_registered_models_keep_the_operators_parameters(monkeypatch):
             assert seen.args[0] == models.Params()
         else:
             raise AssertionError("no model was fitted")
+
+
+def test_means_of_late_events_are_in_order(spark, tmp_path):
+    """Events in three files, out of order by less than the watermark allows; the last ones wait for later events."""
+    from panelspark.streaming import bars
+
+    r = np.random.default_rng(3)
+    start = dt.datetime(2024, 1, 1)
+    events = [(k, "ab"[k % 2], start + dt.timedelta(minutes=10 * k), None if k == 8 else float(r.normal())) for k in range(60)]
+    held = events[:]
+    for a in range(0, 60, 5):  # within fifty minutes
+        part = held[a : a + 5]
+        r.shuffle(part)
+        held[a : a + 5] = part
+    for i, part in enumerate((held[:22], held[22:41], held[41:])):
+        spark.createDataFrame(part, "event_id long, item_id string, ts timestamp, px double").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema("event_id long, item_id string, ts timestamp, px double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    got = {x.event_id: x["mean"] for x in bars.drain(bars.ordered_mean(stream, 0.3, "3 hours"), f"file://{tmp_path}", conf=bars.ROCKS).collect()}
+    want, mean = {}, {}
+    for k, item, ts, x in events:
+        if x is not None:
+            mean[item] = x if item not in mean else mean[item] + 0.3 * (x - mean[item])
+        want[k] = mean[item]
+    last = events[-1][2] - dt.timedelta(hours=3)
+    due = {k: want[k] for k, _, ts, _ in events if ts <= last}
+    assert got.keys() == due.keys() and all(abs(got[k] - v) < 1e-12 for k, v in due.items())
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) != bars.ROCKS["spark.sql.streaming.stateStore.providerClass"]
