@@ -117,21 +117,27 @@ def redundancy_filter(ranked: list[str], correlations: DataFrame, most: float =
     return kept
 
 
-def pooled_rank(df: DataFrame, x: str, name: str, parts: int = 64) -> DataFrame:
-    """Average rank over all rows, without one task for all: counts per value, ranged by value, with prefix sums of ranges."""
-    counts = df.groupBy(F.col(x).alias("_v")).agg(F.count("*").alias("_c")).repartitionByRange(parts, "_v").withColumn("_part", F.spark_partition_id())
+def pooled_rank(df: DataFrame, x: str, name: str, parts: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
+    """Average rank over all rows (of each group of `by`), without one task for all: counts per value, ranged by value, with prefix sums of ranges."""
+    counts = df.groupBy(*by, F.col(x).alias("_v")).agg(F.count("*").alias("_c")).repartitionByRange(parts, *by, "_v").withColumn("_part", F.spark_partition_id())
     counts = counts.persist()
-    before = counts.groupBy("_part").agg(F.sum("_c").alias("_s")).select("_part", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # a row for each part
-    w = Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn("_in", F.coalesce(F.sum("_c").over(w), F.lit(0))).join(F.broadcast(before), "_part")
-    ranks = ranks.select("_v", (F.col("_base") + F.col("_in") + (F.col("_c") + 1) / 2).alias(name))
-    return df.join(ranks, df[x] == ranks["_v"]).drop("_v")
-
-
-def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    ranked = pooled_rank(pooled_rank(both, x, "_rx"), y, "_ry")
-    return ranked.agg(correlation("_rx", "_ry").alias("spearman"), F.count("*").alias("n"))
+    w = Window.partitionBy(*by).orderBy("_part") if by else Window.orderBy("_part")
+    before = counts.groupBy(*by, "_part").agg(F.sum("_c").alias("_s")).select(*by, "_part", F.coalesce(F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # a row for each part
+    w = Window.partitionBy(*by, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = counts.withColumn("_in", F.coalesce(F.sum("_c").over(w), F.lit(0))).join(F.broadcast(before), [*by, "_part"])
+    ranks = ranks.select(*[F.col(b).alias(f"_by_{b}") for b in by], "_v", (F.col("_base") + F.col("_in") + (F.col("_c") + 1) / 2).alias(name))
+    same = df[x] == ranks["_v"]
+    for b in by:
+        same = same & (df[b] == ranks[f"_by_{b}"])
+    return df.join(ranks, same).drop("_v", *[f"_by_{b}" for b in by])
+
+
+def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., spearman, n) over all rows, or over those of each group."""
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    ranked = pooled_rank(pooled_rank(both, x, "_rx", by=by), y, "_ry", by=by)
+    figures = [correlation("_rx", "_ry").alias("spearman"), F.count("*").alias("n")]
+    return ranked.groupBy(*by).agg(*figures) if by else ranked.agg(*figures)
 
 
 def precision_at(df: DataFrame, score: str, label: str, share: float, by: list[str], top: bool = True, best: float = 0.9) -> DataFrame:

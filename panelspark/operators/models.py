@@ -116,18 +116,22 @@ def gain_importance(models: list[GBTRegressionModel], features: list[str]) -> li
 
 
 def permutation_importance(model: GBTRegressionModel, panel: DataFrame, features: list[str], pct: str, seed: int = 1) -> DataFrame:
-    """(feature, drop): what the pooled Spearman loses when a feature's values are dealt anew within each date."""
+    """(feature, drop): what the pooled Spearman loses when a feature's values are dealt anew within each date.
+
+    The panel and its copies, one with each feature dealt anew, are stacked, scored in one pass and ranked side by side.
+    """
     from pyspark.sql import Window
 
-    base = evaluate(predict(model, panel, features), pct).first().spearman
-    whole = panel.dropna(subset=features)
-    out = []
-    for f in features:
-        own = whole.withColumn("_a", F.row_number().over(Window.partitionBy(DATE).orderBy(F.xxhash64(F.lit(seed), F.col(ITEM), F.lit(f)), ITEM))).withColumn("_b", F.row_number().over(Window.partitionBy(DATE).orderBy(ITEM)))
-        dealt = own.select(DATE, F.col("_a").alias("_b"), F.col(f).alias("_new"))
-        shuffled = own.join(dealt, [DATE, "_b"]).withColumn(f, F.col("_new")).drop("_a", "_b", "_new")
-        out.append((f, float(base - evaluate(predict(model, shuffled, features), pct).first().spearman)))
-    return panel.sparkSession.createDataFrame(out, "feature string, drop double")
+    day = Window.partitionBy(DATE)
+    places = [F.row_number().over(day.orderBy(F.xxhash64(F.lit(seed), F.col(ITEM), F.lit(f)), ITEM)) for f in features]
+    whole = panel.dropna(subset=[*features, pct]).select(DATE, ITEM, pct, *features)
+    placed = whole.withColumns({"_b": F.row_number().over(day.orderBy(ITEM)), **{f"_a{i}": p for i, p in enumerate(places)}})
+    dealt = placed.select(DATE, F.explode(F.array(*[F.struct(F.lit(f).alias("_f"), F.col(f"_a{i}").alias("_b"), F.col(f).cast("double").alias("_new")) for i, f in enumerate(features)])).alias("_x")).select(DATE, "_x.*")
+    stacked = placed.select(DATE, "_b", pct, *features).join(dealt, [DATE, "_b"])
+    copies = stacked.select("_f", pct, *[F.when(F.col("_f") == f, F.col("_new")).otherwise(F.col(f)).alias(f) for f in features])
+    both = copies.unionByName(whole.select(F.lit("").alias("_f"), pct, *features))
+    found = {r["_f"]: r.spearman for r in evaluation.spearman(predict(model, both, features), "score", pct, ("_f",)).collect()}  # a row a feature
+    return panel.sparkSession.createDataFrame([(f, None if found.get(f) is None or found.get("") is None else float(found[""] - found[f])) for f in features], "feature string, drop double")
 
 
 def sample_rows(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
