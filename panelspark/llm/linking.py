@@ -74,6 +74,11 @@ def _elected(members: DataFrame, by: list, payload: list[str], prefix: str) -> D
     return best.select("grp", *[F.col(f"_best.{c}").alias(f"{prefix}{c}") for c in ("id", "pop", *payload)])
 
 
+def _groups(members: DataFrame, who: str) -> DataFrame:
+    """(who, groups): the groups that an id is in; as many as it has keys."""
+    return members.groupBy(who).agg(F.collect_set("grp").alias(who.removesuffix("id") + "groups"))
+
+
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """roots when further links (a, b) join components: what is done over is the components linked now."""
     ends = links
@@ -129,10 +134,14 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketche
         leaders = max(1, min(4**turn, max(enough, ROUND * n) // rest))
         chosen = _elected(apart, ["grp", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(leaders)).alias("_class")], [], "").select("id").distinct()
         lead = apart.join(chosen, "id", "left_semi")  # in all its groups at once
-        lead, _ = stored(lead.select("grp", *[F.col(c).alias(f"a_{c}") for c in ("id", "root", *payload)]), "leaders")
+        lead = lead.select("grp", *[F.col(c).alias(f"a_{c}") for c in ("id", "root", *payload)])
+        lead, _ = stored(lead.join(_groups(lead, "a_id"), "a_id"), "leaders")
         # Who led in a group has met all its members of other components: no pair is met again.
         target = rooted if done is None else rooted.join(done, ["grp", "id"], "left_anti")
-        new = target.join(lead, "grp").where((F.col("root") != F.col("a_root")) & close("a_", "")).select(F.col("a_id").alias("a"), F.col("id").alias("b"))
+        # A pair that shares several groups is met in the least of them alone.
+        target = target.join(_groups(target, "id"), "id")
+        once = F.col("grp") == F.array_min(F.array_intersect("groups", "a_groups"))
+        new = target.join(lead, "grp").where((F.col("root") != F.col("a_root")) & close("a_", "") & once).select(F.col("a_id").alias("a"), F.col("id").alias("b"))
         found, some = checked(new)
         if some:
             roots = _merged(roots, found)

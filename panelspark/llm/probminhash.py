@@ -164,6 +164,19 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     return marked.select("doc_id", "whole_1", "whole_2").join(named, ["whole_1", "whole_2"], "left").select("doc_id", "class_id", "copy_of")
 
 
+def classified(df: DataFrame) -> DataFrame:
+    """near_duplicates for any ids: rows of no id, and the texts of an id that has several, are documents each (common.keyed).
+
+    A class is named by its least id; one that holds only such documents by the number that keyed gives the least of them, above all ids. So is copy_of.
+    """
+    key = unused(df, "_key")
+    own = keyed(df.select("doc_id", "text"), key)
+    named = near_duplicates(own.select(F.col(key).alias("doc_id"), "text"))
+    odd = own.where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col(key))).select(F.col(key).alias("_k"), F.col("doc_id").cast("long").alias("_own"), F.lit(True).alias("_odd")).distinct()
+    out = named.join(odd, F.col("doc_id") == F.col("_k"), "left")
+    return out.select(F.when(F.col("_odd"), F.col("_own")).otherwise(F.col("doc_id")).alias("doc_id"), "class_id", "copy_of")
+
+
 def keep_first(df: DataFrame) -> DataFrame:
     """The document of each class that names it, once; columns as they were. Different texts of no id or of one id are documents each."""
     key = unused(df, "_key")

@@ -23,9 +23,9 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from panelspark.llm.probminhash import near_duplicates
+    from panelspark.llm.probminhash import classified
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return classified(table(spark, sf_dir, "documents"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

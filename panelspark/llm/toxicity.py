@@ -310,7 +310,7 @@ def fit(df: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Shared:
         here = os.path.join(tempfile.mkdtemp(prefix="toxicity-"), tag)
         share, bare, n = learnt(rows.toArrow()).save(here).values()
         spark.sparkContext.addFile(here, recursive=True)
-    small = Shared(folder, tag, share, bare)
+    small = Shared(folder, tag, share, bare, n)
     if n:
 
         def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,15 +329,18 @@ def fit(df: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Shared:
 class Shared:
     """What a task needs to open the model; its arrays are in files that the workers of a machine map together."""
 
-    def __init__(self, folder: str | None, tag: str, share: float, bare: float) -> None:
-        self.folder, self.tag, self.share, self.bare = folder, tag, share, bare
+    def __init__(self, folder: str | None, tag: str, share: float, bare: float, n: int = 0) -> None:
+        self.folder, self.tag, self.share, self.bare, self.n = folder, tag, share, bare, n
         self.xs = self.ys = np.zeros(0)
 
     def open(self) -> Model:
-        folder = self.folder or SparkFiles.get(self.tag)
-        if not os.path.exists(folder):  # no example at all
+        if not self.n:  # no example at all
             return Model(np.zeros(0, np.int64), np.zeros(0), Index([], 0), np.zeros(0, np.int64), np.zeros(0), self.share, self.bare)
 
+        folder = self.folder or SparkFiles.get(self.tag)
+        if not os.path.exists(folder):
+            raise RuntimeError(f"the model's folder {folder} is not seen from this machine: spark.checkpoint.dir must be shared by all")
+
         def read(name: str) -> np.ndarray:
             return np.load(os.path.join(folder, f"{name}.npy"), mmap_mode="r").view(np.ndarray)
 

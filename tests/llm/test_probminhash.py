@@ -92,3 +92,18 @@ def test_groups_without_a_common_leader(spark):
     for enough in (1_000_000, 0):
         got = {r.id: r.root for r in linking.linked(members, alike, enough=enough).collect()}
         assert got == {i: (i % 5 or 5) for i in ids if i}
+
+
+def test_links_of_rows_without_an_id_and_of_repeated_ids(spark):
+    """A near copy under a null id has its class; each text of an id that has several is a document of its own."""
+    one, other, third = prose(1, 200), prose(2, 200), prose(3, 200)
+    near = one.replace(one.split()[100], "changed", 1)
+    like = other.replace(other.split()[50], "different", 1)
+    df = spark.createDataFrame([(1, one), (None, near), (7, like), (7, third), (8, other), (None, prose(4, 90)), (9, prose(5, 90))], "doc_id long, text string")
+    got = {}
+    for r in pm.classified(df).collect():
+        got.setdefault(r.doc_id, []).append(r.class_id)
+    assert got[1] == [1] and 1 in got[None] and got[9] == [9]
+    apart = [c for c in got[7] if c != got[8][0]]
+    assert got[8][0] in got[7] and len(apart) == 1 and len(got[None]) == 2 and len({*got[None], *got[7], 9}) == 5
+    assert pm.classified(df.limit(0)).count() == 0

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from llm_helpers import DATA, SCHEMA
 
 from panelspark.llm import toxicity as tox
@@ -71,3 +72,10 @@ def test_texts_without_a_telling_word_have_neighbours(spark):
     got = {r.doc_id: r for r in tox.score_texts(spark.createDataFrame(asked, SCHEMA), model).collect()}
     assert len(got[1000].evidence) == len(got[1001].evidence) == 5 and not got[1002].evidence
     assert all(e % 10 == 2 for e in got[1000].evidence)
+
+
+def test_a_model_that_is_not_seen_is_an_error():
+    lost = tox.Shared("/nowhere/at/all", "tag", 0.5, 0.5, 3)
+    with pytest.raises(RuntimeError, match="not seen"):
+        lost.open()
+    assert tox.Shared(None, "tag", 0.5, 0.5, 0).open() is not None
