@@ -29,7 +29,7 @@ from panelspark.llm.words import counted, shingles, word_hashes
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 39, 7
 REGISTERS = BANDS * ROWS
-SKETCHED, FAR = 1024, 146
+SKETCHED, FAR = 2048, 267
 SKETCH = tuple(f"sketch_{i}" for i in range(SKETCHED // 64))
 
 
@@ -153,7 +153,7 @@ def near_duplicates(df: DataFrame) -> DataFrame:
         return similar(fetch(fetch(pairs, whole, "a", {"text": "ta"}), whole, "b", {"text": "tb"})).distinct()
 
     def close(a: str, b: str) -> Column:
-        """A register's bits differ with 0.1 at 0.8: more than FAR of SKETCHED do once in 200,000, less often than no band is shared."""
+        """A register's bits differ with 0.1 at 0.8: more than FAR of SKETCHED do five times in a million, less often than no band is shared."""
         return reduce(add, [F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in SKETCH]) <= FAR
 
     def sketches(ids: DataFrame) -> DataFrame:
