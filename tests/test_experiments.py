@@ -63,12 +63,12 @@ def test_booster_as_trainer(panel, tmp_path):
 
 
 def test_luck_of_a_grid(spark, tmp_path):
-    """The published grid: nine runs, the chosen one at 0.059."""
+    """The published grid, nine runs rounded to three digits, the chosen one at 0.059; the published 0.9811 is of unrounded runs."""
     runs = [0.010, 0.042, 0.059, 0.044, 0.039, 0.041, 0.059, 0.085, 0.010]
     report = {"metrics": {"test": {"spearman": 0.059}}, "grid_results": [{"metrics": {"test": {"spearman": x}}} for x in runs]}
     (tmp_path / "grid.json").write_text(json.dumps(report, indent=1))
     (tmp_path / "none.json").write_text(json.dumps({"metrics": {"test": {"spearman": 0.1}}, "grid_results": []}))
     got = {r.report: r for r in experiments.grid_luck(files.json_reports(spark, str(tmp_path))).collect()}
     r = got["grid.json"]
-    assert r.n_trials == 9 and abs(r.sigma - 0.0236) < 1e-4 and abs(r.e_max - 0.0359) < 2e-4 and abs(r.dsr - 0.9811) < 5e-3 and r.verdict == "real"
+    assert r.n_trials == 9 and abs(r.sigma - 0.0236) < 1e-4 and abs(r.e_max - 0.0359) < 2e-4 and abs(r.dsr - 0.9737) < 1e-4 and abs(r.dsr - 0.9811) < 1e-2 and r.verdict == "real"
     assert got["none.json"].verdict == "insufficient data"
