@@ -1,6 +1,7 @@
 """From groups of candidates to connected classes, by DataFrame operations alone.
 
-Candidates come as (grp, id): members of one group may be alike. All pairs of a group are never written out. Each member is
+Candidates come as (grp, id): members of one group may be alike. Groups of the same members, as a family of copies makes one in most of its bands, are
+one group. All pairs of a group are never written out. Each member is
 first compared with one leader: of its groups' most popular members (those that meet the most others), the most popular one that
 it is near. Verified pairs give components. What is still apart is taken group by group: of the members outside
 their group's largest component a few are elected, the most popular of each of some hashed classes, and compared with the group's members
@@ -74,6 +75,14 @@ def _elected(members: DataFrame, by: list, payload: list[str], prefix: str) -> D
     return best.select("grp", *[F.col(f"_best.{c}").alias(f"{prefix}{c}") for c in ("id", "pop", *payload)])
 
 
+def _distinct(members: DataFrame) -> DataFrame:
+    """(grp, n): the groups of two members or more, one of those that have the same members (told by their number and some 128 bits of hashes)."""
+    own = F.xxhash64("id")
+    parts = {"n": F.count("*"), "high": F.sum(F.shiftrightunsigned(own, 32)), "low": F.sum(own.bitwiseAND(F.lit(0xFFFFFFFF))), "other": F.bit_xor(F.xxhash64(F.lit(1), "id"))}
+    each = members.groupBy("grp").agg(*[v.alias(k) for k, v in parts.items()]).where("n > 1")
+    return each.groupBy(*parts).agg(F.min("grp").alias("grp")).select("grp", "n")
+
+
 def _groups(members: DataFrame, who: str) -> DataFrame:
     """(who, groups): the groups that an id is in; as many as it has keys."""
     return members.groupBy(who).agg(F.collect_set("grp").alias(who.removesuffix("id") + "groups"))
@@ -96,7 +105,7 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketche
     prefixes of two members' such columns that every pair alike meets; it is part of the joins, so pairs that fail it are never
     written. A round may write `enough` rows in any case.
     """
-    sizes, _ = stored(members.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "groups")
+    sizes, _ = stored(_distinct(members), "groups")
     shared, _ = stored(members.join(sizes, "grp"), "shared")
     popular, payload = shared.groupBy("id").agg(F.sum("n").alias("pop")), []
     if sketches is not None:
@@ -131,7 +140,7 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketche
             return roots
         # Groups whose members outside the largest component have all led are done.
         rooted = rooted.join(apart.select("grp").distinct(), "grp", "left_semi")
-        leaders = max(1, min(4**turn, max(enough, ROUND * n) // rest))
+        leaders = max(1, min(4 ** (turn + 1), max(enough, ROUND * n) // rest))
         chosen = _elected(apart, ["grp", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(leaders)).alias("_class")], [], "").select("id").distinct()
         lead = apart.join(chosen, "id", "left_semi")  # in all its groups at once
         lead = lead.select("grp", *[F.col(c).alias(f"a_{c}") for c in ("id", "root", *payload)])
