@@ -26,6 +26,15 @@ def mean(x: E, n: int) -> E:
     return roll("avg", x, n)
 
 
+def pair_of_sums(x: E, n: int, m: int) -> E:
+    """rcorr(total(x, n), total(x, m), 2): two points correlate by the signs of their changes, which for sums are x - lag(x, n) and x - lag(x, m), free of the sums' noise."""
+    there = [y for k in (n, m) for y in (total(x, k), lag(total(x, k)))]
+    out = sign(delta(x, n)) * sign(delta(x, m))
+    for y in there:
+        out = given(y, out)
+    return out
+
+
 def steady(x: E) -> E:
     """For ranks of sums and averages: their last bits are noise."""
     return rounded(x, 10)
@@ -73,7 +82,7 @@ ALPHAS: dict[str, E] = {
     "alpha042": R(steady(vwap - c)) / nonzero(R(steady(vwap + c))),
     "alpha043": tsrank(steady(v / adv20), 20) * tsrank(-delta(c, 7), 8),
     "alpha044": -rcorr(h, R(v), 5),
-    "alpha045": -R(steady(total(lag(c, 5), 20) / 20)) * rcorr(c, v, 2) * R(rcorr(total(c, 5), total(c, 20), 2)),
+    "alpha045": -R(steady(total(lag(c, 5), 20) / 20)) * rcorr(c, v, 2) * R(pair_of_sums(c, 5, 20)),
     "alpha046": when(slope > 0.25, lit(-1.0), when(slope < 0, lit(1.0), _trend)),
     "alpha047": R(div(1.0, c)) * v / adv20 * (h * R(h - c) / mean(h, 5)) - R(steady(delta(vwap, 5))),
     "alpha049": when(slope < -0.1, lit(1.0), _trend),

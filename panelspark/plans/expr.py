@@ -252,7 +252,10 @@ def _pair(x: Column, y: Column) -> tuple[Column, Column]:
 
 
 def rcorr(x, y, n: int, least: int | None = None, flat: float | None = 0.0) -> E:
-    """Pearson correlation of the last n rows where both are there; `flat` where one of them does not vary."""
+    """Pearson correlation of the last n rows where both are there; `flat` where one of them does not vary.
+
+    Of two rows it is 1 or -1: the product of the signs of the changes, which has no last bits to rank by.
+    """
     least = n if least is None else least
     frame, w_sql = _frame(n)
 
@@ -260,7 +263,10 @@ def rcorr(x, y, n: int, least: int | None = None, flat: float | None = 0.0) -> E
         w = frame()
         a, b = _pair(a, b)
         still = (F.min(a).over(w) == F.max(a).over(w)) | (F.min(b).over(w) == F.max(b).over(w))
-        corr = F.round(F.try_divide(F.covar_pop(a, b).over(w), F.stddev_pop(a).over(w) * F.stddev_pop(b).over(w)), 10)
+        if n == least == 2:
+            corr = F.signum(a - F.first(a).over(w)) * F.signum(b - F.first(b).over(w))
+        else:
+            corr = F.round(F.try_divide(F.covar_pop(a, b).over(w), F.stddev_pop(a).over(w) * F.stddev_pop(b).over(w)), 10)
         return F.when(F.count(a).over(w) >= least, F.when(still, F.lit(flat).cast("double")).otherwise(corr))
 
     def text(a: str, b: str) -> str:
@@ -268,6 +274,8 @@ def rcorr(x, y, n: int, least: int | None = None, flat: float | None = 0.0) -> E
         q = f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN {b} END"
         still = f"(min({p}) OVER {w_sql} = max({p}) OVER {w_sql} OR min({q}) OVER {w_sql} = max({q}) OVER {w_sql})"
         corr = f"round(covar_pop({p}, {q}) OVER {w_sql} / nullif(stddev_pop({p}) OVER {w_sql} * stddev_pop({q}) OVER {w_sql}, 0), 10)"
+        if n == least == 2:
+            corr = " * ".join(f"CAST(sign({x} - first_value({x}) OVER {w_sql}) AS DOUBLE)" for x in (p, q))
         return f"(CASE WHEN count({p}) OVER {w_sql} >= {least} THEN CASE WHEN {still} THEN {'CAST(NULL AS DOUBLE)' if flat is None else flat} ELSE {corr} END END)"
 
     return make("rcorr", "T", column, text, x, y, extra=(n, least, flat), reach=(n - 1, 0))

@@ -2,8 +2,11 @@
 
 import datetime as dt
 import math
+import random
 import statistics
+from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -126,3 +129,38 @@ def test_momentum_bands_and_bodies(bars, computed):
     same(computed, "momentum_20", momentum)
     same(computed, "bollinger_z_20", band, 6)
     same(computed, "alpha101", body)
+
+
+def test_alpha045_ranks_no_noise_of_sums(spark):
+    """Prices that come back after five days leave their sums as they were: fractions say so, sums of doubles do not."""
+    r = random.Random(4)
+    rows = []
+    for i in range(12):
+        cycle = [(r.randint(90_000, 210_000), r.randint(1, 50)) for _ in range(5)]
+        for d in range(40):
+            cents, n = cycle[d % 5] if i % 3 or d < 30 else (r.randint(90_000, 210_000), r.randint(1, 50))
+            rows.append((i, d, Fraction(cents, 100 * n), cents / 100 / n, float(r.randint(1, 9))))
+    exact = {(i, d): (c, v) for i, d, c, _, v in rows}
+    sign = lambda x: (x > 0) - (x < 0)
+
+    def summed(i, d, n):
+        return sum(exact[i, d - k][0] for k in range(n))
+
+    want = {}
+    for d in range(24, 40):
+        mean = share_of_rank({d: {i: summed(i, d - 5, 20) for i in range(12)}})
+        pair = share_of_rank({d: {i: sign(summed(i, d, 5) - summed(i, d - 1, 5)) * sign(summed(i, d, 20) - summed(i, d - 1, 20)) for i in range(12)}})
+        for i in range(12):
+            (c, v), (c0, v0) = exact[i, d], exact[i, d - 1]
+            want[i, d] = -mean[i, d] * sign(c - c0) * sign(v - v0) * pair[i, d]
+    start = dt.date(2024, 1, 1)
+    df = spark.createDataFrame([(f"{i}", start + dt.timedelta(d), c, v) for i, d, _, c, v in rows], "item_id string, date date, close double, volume double")
+    plan = Plan({"alpha045": ALPHAS["alpha045"]})
+    mine = {(int(x.item_id), (x.date - start).days): x.alpha045 for x in plan.apply(df).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE bars (item_id VARCHAR, date DATE, close DOUBLE, volume DOUBLE)")
+    con.executemany("INSERT INTO bars VALUES (?, ?, ?, ?)", [(f"{i}", start + dt.timedelta(d), c, v) for i, d, _, c, v in rows])
+    theirs = {(int(i), (d - start).days): x for i, d, x in con.execute(f"SELECT item_id, date, alpha045 FROM ({plan.sql('bars')})").fetchall()}
+    for got in (mine, theirs):
+        assert {k for k, x in got.items() if x is not None} == set(want)
+        assert all(abs(got[k] - w) < 1e-9 for k, w in want.items())
