@@ -5,6 +5,7 @@ Learning to rank is in ranking.py, attributions of either kind of trees in expla
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
@@ -75,10 +76,10 @@ def grid_search(train: DataFrame, val: DataFrame, features: list[str], label: st
     return best[0], tried
 
 
-def purged_cv(panel: DataFrame, features: list[str], label: str, pct: str, params: Params, k: int = 3, horizon: int = 8, embargo: int = 2, val_share: float = 0.1) -> DataFrame:
-    """(fold, spearman, precision_top, ...) of a model for each purged fold."""
+def purged_cv(panel: DataFrame, features: list[str], label: str, pct: str, params: Params, k: int = 3, horizon: int = 8, embargo: int = 2, val_share: float = 0.1, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(fold, spearman, precision_top, ...) of a model for each purged fold. keep: may store what a fold scored, which its figures read several times."""
     folds = splits.validation_tail(splits.purged_kfold(panel, k, horizon, embargo), val_share)
-    return _per_fold(panel, folds, list(range(k)), features, label, pct, params)
+    return _per_fold(panel, folds, list(range(k)), features, label, pct, params, keep)
 
 
 def walk_forward(panel: DataFrame, features: list[str], label: str, pct: str, params: Params, train: int, test: int, step: int) -> DataFrame:
@@ -86,12 +87,12 @@ def walk_forward(panel: DataFrame, features: list[str], label: str, pct: str, pa
     return _per_fold(panel, folds, [r.fold for r in folds.select("fold").distinct().orderBy("fold").collect()], features, label, pct, params)
 
 
-def _per_fold(panel: DataFrame, folds: DataFrame, ids: list[int], features: list[str], label: str, pct: str, params: Params) -> DataFrame:
-    out = None
+def _per_fold(panel: DataFrame, folds: DataFrame, ids: list[int], features: list[str], label: str, pct: str, params: Params, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    out, folds = None, folds.persist()  # dates by folds
     for f in ids:
         train, val, test = (splits.rows_of(panel, folds, f, role) for role in ("train", "val", "test"))
         model = fit(train, features, label, params, None if val.isEmpty() else val)
-        row = evaluate(predict(model, test, features), pct).withColumn("fold", F.lit(f))
+        row = evaluate(keep(predict(model, test, features).select(DATE, ITEM, "score", pct)), pct).withColumn("fold", F.lit(f))
         out = row if out is None else out.unionByName(row)
     return out
 

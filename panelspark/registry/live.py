@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,11 +87,18 @@ def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features, percentile of the five-month return, relevance label."""
     p = Plan({f: FACTORS[f] for f in FEATURES}).apply(tables.month_panel(spark, sf_dir), ["item_id", "date", "close"])
     p = cross.forward_return(p, 5).withColumn("pct", cross.rank_pct("target_5d")).withColumn("label", cross.bucketize(F.col("pct")))
-    return p.dropna(subset=[*FEATURES, "pct"])
+    return _stored(spark, p.dropna(subset=[*FEATURES, "pct"]).select("item_id", "date", *FEATURES, "pct", "label"), "dataset")
+
+
+def _stored(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder and read again: splits, trees and figures read it many times."""
+    path = f"{base(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def parts(panel: DataFrame) -> dict[str, DataFrame]:
-    roles = splits.chronological(panel)
+    roles = splits.chronological(panel).persist()  # a row a date
     return {r: panel.join(F.broadcast(roles.where(F.col("role") == r).select("date")), "date", "left_semi") for r in ("train", "val", "test")}
 
 
@@ -113,7 +121,7 @@ def rank_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def asof_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every date after the first model, scored at once by the model valid then; a model knows labels that were over half a year before its first day."""
-    p = dataset(spark, sf_dir).select("item_id", "date", *FEATURES, "label").persist()
+    p = dataset(spark, sf_dir).select("item_id", "date", *FEATURES, "label")
     days = [r.date for r in p.select("date").distinct().orderBy("date").collect()]  # a row a month
     valid = []
     for share in (0.5, 0.75):
@@ -123,7 +131,6 @@ def asof_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
             if not known.isEmpty():
                 grown = trees.from_boosted(spark, models.fit(known, FEATURES, "label", models.Params()), base(spark))
                 valid.append((str(first), ranking.RankModel(grown, FEATURES)))
-    p.unpersist()
     if not valid:
         return spark.createDataFrame([], "item_id string, date date, valid_from string, score double, rank_pct double")
     return asof.batch_scores(p.drop("label"), valid).select("item_id", "date", "valid_from", F.round("score", 6).alias("score"), F.round("rank_pct", 6).alias("rank_pct"))
@@ -149,7 +156,7 @@ def perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def purged_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = models.purged_cv(dataset(spark, sf_dir), FEATURES, "label", "pct", models.Params(), 3, 150, 30)
+    out = models.purged_cv(dataset(spark, sf_dir), FEATURES, "label", "pct", models.Params(), 3, 150, 30, keep=lambda df: _stored(spark, df, "fold"))
     return out.select("fold", "n", *[F.round(c, 6).alias(c) for c in ("spearman", "precision_top", "precision_bottom")])
 
 
