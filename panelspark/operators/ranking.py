@@ -1,7 +1,7 @@
 """Learning to rank: boosted trees on lambda gradients of NDCG within each date.
 
-The panel is packed once, a row a date: items in order, relevance, and features as quantile bins. One pass over it grows one level of a
-tree: a task walks its dates through the tree so far, forms the gradients of each date from its scores, and adds them up by
+The panel is packed once, a row a date: items in order, relevance, and features as quantile bins. A tree forms the gradients of each date from its
+scores once and keeps them with the bins. One pass over those grows one level: a task walks its dates through the tree so far and adds the gradients up by
 (node, feature, bin); Spark adds the tasks' sums, runs them along the bins and picks the best split of each node, so that what reaches the
 driver is a row a node. Gradients are whole multiples of 2 ** -24, so sums, splits and models do not depend on how dates are dealt. Scores are written back
 every REFRESH trees; in between a pass adds the newer trees itself.
@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,18 +92,17 @@ def edges(rows: DataFrame, features: list[str], bins: int) -> list[np.ndarray]:
 def packed(rows: DataFrame, features: list[str], label: str, cuts: list[np.ndarray], folder: str) -> DataFrame:
     """(date, label, bins, score): a row a date, items in order; bins are bytes, feature after feature."""
     cells = [F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(features)]
-    item = F.struct(F.col(ITEM), F.col(label).cast("double").alias("label"), *cells)
-    by_date = rows.groupBy(DATE).agg(F.array_sort(F.collect_list(item)).alias("x")).select(F.col(DATE).cast("string").alias("date"), *[F.col(f"x.{c}").alias(c) for c in ("label", *[f"f{i}" for i in range(len(features))])])
+    each = rows.select(F.col(DATE).cast("string").alias("date"), F.col(ITEM).alias("item"), F.col(label).cast("double").alias("label"), *cells)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                values = [c[at].values.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
-                held = np.array([np.searchsorted(cut, v) for cut, v in zip(cuts, values[1:])], np.uint8)
-                one = [pa.array([batch.column(0)[at].as_py()]), pa.array([values[0]]), pa.array([held.tobytes()], pa.binary()), pa.array([np.zeros(len(values[0]))])]
-                yield pa.RecordBatch.from_arrays(one, ["date", "label", "bins", "score"])
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [(c, "ascending") for c in table.column_names[1:]], null_placement="at_start"))
+        values = [c.to_numpy() for c in table.columns[2:]]
+        held = np.array([np.searchsorted(cut, v) for cut, v in zip(cuts, values[1:])], np.uint8)
+        one = [table.column(0)[0].as_py(), values[0], held.tobytes(), np.zeros(len(values[0]))]
+        types = [pa.string(), pa.list_(pa.float64()), pa.binary(), pa.list_(pa.float64())]
+        return pa.table([pa.array([v], t) for v, t in zip(one, types)], ["date", "label", "bins", "score"])
 
-    return _written(by_date.mapInArrow(run, "date string, label array<double>, bins binary, score array<double>"), folder)
+    return _written(each.groupBy("date").applyInArrow(run, "date string, label array<double>, bins binary, score array<double>"), folder)
 
 
 def _written(df: DataFrame, folder: str) -> DataFrame:
@@ -129,22 +129,35 @@ def _sample(date: str, n: int, tree: int, params: RankParams) -> np.ndarray:
     return np.random.default_rng([params.seed, tree, *date.encode()]).random(n) < params.subsample
 
 
-def _level(rows: DataFrame, newer: list[Tree], grown: Tree, open_: list[int], chosen: list[int], width: int, number: int, params: RankParams) -> dict[int, tuple]:
+def _gradients(rows: DataFrame, newer: list[Tree], width: int, number: int, params: RankParams) -> DataFrame:
+    """(bins, g, h) of the rows that tree `number` sees, a row a date; g and h are longs, in units."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for date, label, held, score in _dates(batches, newer, width):
+            keep = _sample(date, len(label), number, params)
+            g, h = (np.rint(d[keep] * UNIT).astype("<i8").tobytes() for d in lambdas(score, label, params.top))
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in (held[keep].T.tobytes(), g, h)], ["bins", "g", "h"])
+
+    return rows.mapInArrow(run, "bins binary, g binary, h binary")
+
+
+def _level(rows: DataFrame, grown: Tree, open_: list[int], chosen: list[int], width: int, params: RankParams) -> dict[int, tuple]:
     """The best split of each open node: node -> (gain, feature, bin, g left, h left, g, h)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, place = params.bins, {node: k for k, node in enumerate(open_)}
         total = np.zeros((2, len(open_), len(chosen), bins))
-        for date, label, held, score in _dates(batches, newer, width):
-            g, h = lambdas(score, label, params.top)
-            keep = _sample(date, len(label), number, params)
-            node = np.array([place.get(k, -1) for k in range(len(grown.feature))])[grown.reached(held)]
-            keep &= node >= 0
-            node, g, h = node[keep], np.rint(g[keep] * UNIT), np.rint(h[keep] * UNIT)
-            for k, f in enumerate(chosen):
-                at = node * bins + held[keep, f]
-                total[0, :, k] += np.bincount(at, g, len(open_) * bins).reshape(-1, bins)
-                total[1, :, k] += np.bincount(at, h, len(open_) * bins).reshape(-1, bins)
+        for batch in batches:
+            for one in range(batch.num_rows):
+                held, g, h = (np.frombuffer(c[one].as_py(), t) for c, t in zip(batch.columns, (np.uint8, "<i8", "<i8")))
+                held = held.reshape(width, -1).T
+                node = np.array([place.get(k, -1) for k in range(len(grown.feature))])[grown.reached(held)]
+                keep = node >= 0
+                node, g, h = node[keep], g[keep].astype(float), h[keep].astype(float)
+                for k, f in enumerate(chosen):
+                    at = node * bins + held[keep, f]
+                    total[0, :, k] += np.bincount(at, g, len(open_) * bins).reshape(-1, bins)
+                    total[1, :, k] += np.bincount(at, h, len(open_) * bins).reshape(-1, bins)
         n, k, b = np.nonzero(total[1] + np.abs(total[0]))
         ids = [np.array(open_, np.int64)[n], np.array(chosen, np.int64)[k], b, total[0][n, k, b].astype(np.int64), total[1][n, k, b].astype(np.int64)]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ids], ["node", "feature", "bin", "g", "h"])
@@ -174,10 +187,11 @@ def grow(rows: DataFrame, newer: list[Tree], width: int, number: int, params: Ra
     def value(g: int, h: int) -> tuple[float, float]:
         return -params.rate * (g / UNIT) / (h / UNIT + params.l2), h / UNIT
 
+    drawn = _gradients(rows, newer, width, number, params).persist()
     for _ in range(params.depth):
         if not open_:
             break
-        found, following = _level(rows, newer, tree, open_, chosen, width, number, params), []
+        found, following = _level(drawn, tree, open_, chosen, width, params), []
         for node in open_:
             if node not in found:
                 continue
@@ -186,6 +200,7 @@ def grow(rows: DataFrame, newer: list[Tree], width: int, number: int, params: Ra
             if gain is not None:
                 following += tree.split(node, feature, bin_, value(gl, hl), value(g - gl, h - hl))
         open_ = following
+    drawn.unpersist()
     return tree
 
 
@@ -247,8 +262,11 @@ def fit_ranker(train: DataFrame, features: list[str], label: str, params: RankPa
         trees.append(_in_values(grown, cuts))
         newer.append(grown)
         if held is not None:
-            recent = scored(trees[-len(newer) :], held, features, "_add").withColumn("_score", F.col("_base") + F.col("_add"))
-            figure = top_share(recent, "_score", "_truth", params.share, params.best, size)
+            recent = scored(trees[-1:], held, features, "_add").withColumn("_base", F.col("_base") + F.col("_add")).drop("_add").persist()
+            figure = top_share(recent, "_base", "_truth", params.share, params.best, size)
+            if number:
+                held.unpersist()
+            held = recent
             model.history.append(figure)
             if figure is not None and (best is None or figure > best[0]):
                 best = (figure, number)
@@ -256,9 +274,13 @@ def fit_ranker(train: DataFrame, features: list[str], label: str, params: RankPa
                 break
         if len(newer) == REFRESH and number + 1 < params.trees:
             panel = _written(_refreshed(panel, newer, len(features)), folder)
-            if held is not None:
-                held = _written(recent.withColumn("_base", F.col("_score")).select(*held.columns), folder)
+            if held is not None:  # the lineage ends here
+                recent = _written(held, folder)
+                held.unpersist()
+                held = recent
             newer = []
+    if held is not None:
+        held.unpersist()
     model.trees = trees if best is None else trees[: best[1] + 1]
     return model
 
