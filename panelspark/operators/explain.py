@@ -3,7 +3,8 @@
 For one leaf, the features on its path are players. A player that is present lets a row through if the row meets all its conditions on
 the path, one that is absent lets through the share of training weight that its splits sent this way. The weights of all subset sizes
 are carried down the path as a polynomial, one factor a feature; a feature's value is what the other factors' polynomial gives with the weights of
-their subset sizes. Rows that meet the same conditions of a path share its values, so each pattern is worked out once a batch. With d
+their subset sizes. Rows that meet the same conditions of a path share its values, so each pattern is worked out once: for all batches where a path has at
+most ALL features, once a batch where it has more. With d
 features on a path that costs d ** 2 a feature, never 2 ** d.
 """
 
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 from panelspark.operators.trees import Tree, matrix
 
 
+ALL = 8
+
+
 @dataclass
 class Path:
     """A leaf and, for each feature on the way to it, the bounds low < x <= high that lead there and the share of weight that took them."""
@@ -30,6 +34,7 @@ class Path:
     low: list[float]
     high: list[float]
     share: list[float]
+    table: np.ndarray | None = None  # attributions of each pattern, by its bits
 
 
 def paths(tree: Tree) -> list[Path]:
@@ -38,7 +43,10 @@ def paths(tree: Tree) -> list[Path]:
     def down(node: int, held: dict[int, tuple[float, float, float]]) -> None:
         f = tree.feature[node]
         if f < 0:
-            out.append(Path(tree.value[node], list(held), *([v[k] for v in held.values()] for k in range(3))))
+            path = Path(tree.value[node], list(held), *([v[k] for v in held.values()] for k in range(3)))
+            if 0 < len(held) <= ALL:
+                path.table = path.value * pattern_values((np.arange(1 << len(held))[:, None] >> np.arange(len(held)) & 1).astype(float), np.array(path.share))
+            out.append(path)
             return
         low, high, share = held.get(f, (-np.inf, np.inf, 1.0))
         at = tree.threshold[node]
@@ -73,16 +81,23 @@ def pattern_values(met: np.ndarray, share: np.ndarray) -> np.ndarray:
 
 def attributions(trees: list[list[Path]], x: np.ndarray) -> np.ndarray:
     """Rows by features."""
-    out = np.zeros(x.shape)
+    columns, added = np.ascontiguousarray(x.T), np.zeros(x.shape[::-1])
     for leaves in trees:
         for leaf in leaves:
             if not leaf.features:
                 continue
+            if leaf.table is not None:
+                bits = np.zeros(len(x), np.int64)
+                for k, (f, low, high) in enumerate(zip(leaf.features, leaf.low, leaf.high)):
+                    bits |= ((columns[f] > low) & (columns[f] <= high)).astype(np.int64) << k
+                for k, f in enumerate(leaf.features):
+                    added[f] += leaf.table[bits, k]
+                continue
             own = x[:, leaf.features]
             met = (own > leaf.low) & (own <= leaf.high)
             patterns, inverse = np.unique(met, axis=0, return_inverse=True)
-            out[:, leaf.features] += leaf.value * pattern_values(patterns.astype(float), np.array(leaf.share))[inverse.reshape(-1)]
-    return out
+            added[leaf.features] += (leaf.value * pattern_values(patterns.astype(float), np.array(leaf.share))[inverse.reshape(-1)]).T
+    return added.T
 
 
 def explained(trees: list[Tree], panel: DataFrame, features: list[str], prefix: str = "shap_") -> DataFrame:

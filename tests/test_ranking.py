@@ -214,3 +214,48 @@ def test_summary_ranks_features(spark, folder):
     stump = trees.Tree()
     stump.leaf(0.5, 1.0)
     assert explain.explained([stump], df, features).select("base_value", "prediction", "shap_x").first() == (0.5, 0.5, 0.0)
+
+
+def test_gradients_are_formed_once_a_tree(spark, folder):
+    """What a level reads are a date's sampled gradients, in units; no level forms them again."""
+    p = panel(spark, dates=4, items=12)
+    params = ranking.RankParams(bins=8, top=3)
+    rows = ranking.packed(p, ["x", "z"], "label", ranking.edges(p, ["x", "z"], 8), folder)
+    kept = {r.date: r for r in rows.collect()}
+    seen = ranking._gradients(rows, [], 2, 5, params).collect()
+    assert len(seen) == len(kept)
+    want = set()
+    for date, r in kept.items():
+        keep = ranking._sample(date, len(r.label), 5, params)
+        g, h = ranking.lambdas(np.array(r.score), np.array(r.label), params.top)
+        held = np.frombuffer(r.bins, np.uint8).reshape(2, -1)[:, keep]
+        want.add((held.tobytes(), np.rint(g[keep] * ranking.UNIT).astype("<i8").tobytes(), np.rint(h[keep] * ranking.UNIT).astype("<i8").tobytes()))
+    assert {(bytes(r.bins), bytes(r.g), bytes(r.h)) for r in seen} == want
+
+
+def test_patterns_of_a_path_are_worked_out_once(monkeypatch):
+    tree = trees.Tree()
+    left, right = tree.split(tree.leaf(0.0, 10.0), 0, 0.5, (0.0, 4.0), (2.0, 6.0))
+    tree.split(left, 1, 0.2, (-1.0, 1.0), (3.0, 3.0))
+    ways = [explain.paths(tree)]
+    x = np.random.default_rng(2).random((50, 2))
+    want = explain.attributions(ways, x)
+    calls = []
+    whole = explain.pattern_values
+    monkeypatch.setattr(explain, "pattern_values", lambda *a: calls.append(1) or whole(*a))
+    assert (explain.attributions(ways, x) == want).all() and not calls
+    for leaf in ways[0]:  # as paths of many features do
+        leaf.table = None
+    assert np.allclose(explain.attributions(ways, x), want) and calls
+
+
+def test_models_read_a_stored_panel(spark):
+    """The windows of the panel run once, not for each split, tree and figure."""
+    from panelspark.registry import live
+
+    plan = live.dataset(spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
+    stored = []
+    p = live.dataset(spark, "/root/testdata/sf0.01")
+    models.purged_cv(p, live.FEATURES, "label", "pct", models.Params(trees=1, depth=1), 2, 150, 30, keep=lambda df: stored.append(df) or df)
+    assert len(stored) == 2 and all(set(df.columns) == {"item_id", "date", "score", "pct"} for df in stored)
