@@ -116,10 +116,11 @@ def gain_importance(models: list[GBTRegressionModel], features: list[str]) -> li
     return sorted(((f, t / len(models)) for f, t in zip(features, total)), key=lambda p: -p[1])
 
 
-def permutation_importance(model: GBTRegressionModel, panel: DataFrame, features: list[str], pct: str, seed: int = 1) -> DataFrame:
+def permutation_importance(model: GBTRegressionModel, panel: DataFrame, features: list[str], pct: str, seed: int = 1, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(feature, drop): what the pooled Spearman loses when a feature's values are dealt anew within each date.
 
-    The panel and its copies, one with each feature dealt anew, are stacked, scored in one pass and ranked side by side.
+    The panel and its copies, one with each feature dealt anew, are stacked, scored in one pass and ranked side by side. keep: may store the scores, which
+    the ranks read several times.
     """
     from pyspark.sql import Window
 
@@ -131,7 +132,7 @@ def permutation_importance(model: GBTRegressionModel, panel: DataFrame, features
     stacked = placed.select(DATE, "_b", pct, *features).join(dealt, [DATE, "_b"])
     copies = stacked.select("_f", pct, *[F.when(F.col("_f") == f, F.col("_new")).otherwise(F.col(f)).alias(f) for f in features])
     both = copies.unionByName(whole.select(F.lit("").alias("_f"), pct, *features))
-    found = {r["_f"]: r.spearman for r in evaluation.spearman(predict(model, both, features), "score", pct, ("_f",)).collect()}  # a row a feature
+    found = {r["_f"]: r.spearman for r in evaluation.spearman(keep(predict(model, both, features).select("_f", "score", pct)), "score", pct, ("_f",)).collect()}  # a row a feature
     return panel.sparkSession.createDataFrame([(f, None if found.get(f) is None or found.get("") is None else float(found[""] - found[f])) for f in features], "feature string, drop double")
 
 

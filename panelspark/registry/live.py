@@ -152,7 +152,7 @@ def shap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = dataset(spark, sf_dir)
     model = models.fit(p, FEATURES, "label", models.Params())
-    return models.permutation_importance(model, p, FEATURES, "pct").withColumn("drop", F.round("drop", 6))
+    return models.permutation_importance(model, p, FEATURES, "pct", keep=lambda df: _stored(spark, df, "copies")).withColumn("drop", F.round("drop", 6))
 
 
 def purged_cv(spark: SparkSession, sf_dir: str) -> DataFrame:

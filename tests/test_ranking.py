@@ -259,3 +259,17 @@ def test_models_read_a_stored_panel(spark):
     p = live.dataset(spark, "/root/testdata/sf0.01")
     models.purged_cv(p, live.FEATURES, "label", "pct", models.Params(trees=1, depth=1), 2, 150, 30, keep=lambda df: stored.append(df) or df)
     assert len(stored) == 2 and all(set(df.columns) == {"item_id", "date", "score", "pct"} for df in stored)
+
+
+def test_importance_stores_its_scores(spark):
+    """Ranks of the score and of the truth read what was scored once."""
+    p, stored = panel(spark, dates=4, items=12), []
+
+    def keep(df):
+        stored.append(df)
+        return df
+
+    model = models.fit(p, ["x", "z"], "label", models.Params(trees=1, depth=1))
+    got = models.permutation_importance(model, p, ["x", "z"], "pct", keep=keep)
+    assert len(stored) == 1 and set(stored[0].columns) == {"_f", "score", "pct"}
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in models.permutation_importance(model, p, ["x", "z"], "pct").collect()]
