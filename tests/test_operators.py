@@ -245,3 +245,68 @@ def test_means_of_late_events_are_in_order(spark, tmp_path):
     due = {k: want[k] for k, _, ts, _ in events if ts <= last}
     assert got.keys() == due.keys() and all(abs(got[k] - v) < 1e-12 for k, v in due.items())
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) != bars.ROCKS["spark.sql.streaming.stateStore.providerClass"]
+
+
+def test_waiting_events_are_one_value_a_batch():
+    """What waits is packed: one value of the state for each batch, whatever its rows; rows without a price wait too."""
+    import pandas as pd
+
+    from panelspark.streaming import bars
+
+    class State(list):
+        def get(self):
+            return iter(self)
+
+        def appendValue(self, v):
+            self.append(v)
+
+        def appendList(self, vs):
+            self.extend(vs)
+
+        def put(self, vs):
+            self[:] = vs
+
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def exists(self):
+            return self.held is not None
+
+        def update(self, v):
+            self.held = v
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.waiting = set(), State()
+
+        def getListState(self, *_):
+            return self.waiting
+
+        def getValueState(self, *_):
+            return Value()
+
+        def listTimers(self):
+            return iter(sorted(self.timers))
+
+        def registerTimer(self, t):
+            self.timers.add(t)
+
+        def deleteTimer(self, t):
+            self.timers.discard(t)
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 1_704_067_205_500
+
+    handle, op = Handle(), bars.OrderedMean(0.5)
+    op.init(handle)
+    at = [pd.Timestamp("2024-01-01") + pd.Timedelta(s, "s") for s in (3, 1, 9, 5, 2)]
+    list(op.handleInputRows(("a",), iter([pd.DataFrame({"ts": at, "event_id": [1, 2, 3, 4, 5], "px": [4.0, 2.0, 8.0, np.nan, 4.0]})]), Now()))
+    assert len(handle.waiting) == 1 and handle.timers == {1_704_067_201_000}
+    handle.timers.clear()
+    out = pd.concat(op.handleExpiredTimer(("a",), Now(), None))
+    assert out["event_id"].tolist() == [2, 5, 1, 4] and out["mean"].tolist() == [2.0, 3.0, 3.5, 3.5]
+    assert len(handle.waiting) == 1 and handle.timers == {1_704_067_209_000}
