@@ -31,11 +31,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import arrow_map, documents, ranges, shared_dir, store
+from panelspark.llm.common import arrow_map, documents, shared_dir, store
 
 MAX_EXAMPLES, K, BLOCK, LEAN = 12_000, 15, 64, 0.25
 SURE, LIFT, BOOST, RARE, TOGETHER, SLACK = 16.0, 4.0, 15.0, 10, 64, 1e-5
-WORD = regex.compile(r"[^\W\d_]+")
+WORD, PLAIN = regex.compile(r"[^\W\d_]+"), re.compile("[a-z]+")  # the same for lower-cased ASCII
 STEMS = (4, 5, 6, 7, 8)
 KEPT = 300_000
 
@@ -51,32 +51,47 @@ class Terms(dict):
         super().__init__()
         self.known = known
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= KEPT:
+    def learn(self, words: list[str]) -> None:
+        """Have all of these words."""
+        if len(self) + len(words) > KEPT:
             self.clear()
-        h = np.array([int.from_bytes(blake2b(f.encode(), digest_size=8).digest(), "little", signed=True) for f in forms(word)], np.int64)
+        each = [forms(w) for w in words]
+        h = np.frombuffer(b"".join([blake2b(f.encode(), digest_size=8).digest() for own in each for f in own]), "<i8")
+        ends = np.cumsum([len(own) for own in each])
         if self.known is not None:
-            at = np.searchsorted(self.known, h)
+            order = np.argsort(h)  # places of nearby hashes are near
+            at = np.empty(len(h), np.int64)
+            at[order] = np.searchsorted(self.known, h[order])
             at[at == len(self.known)] = 0
-            h = at[self.known[at] == h] if len(self.known) else h[:0]
-        found = self[word] = tuple(h.tolist())
-        return found
+            there = self.known[at] == h if len(self.known) else np.zeros(len(h), bool)
+            h, ends = at[there], np.concatenate([[0], np.cumsum(there)])[ends]
+        self.update(zip(words, np.split(h, ends[:-1])))
 
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(terms in ascending order, how often each)."""
-        out: dict[int, int] = {}
-        for word, n in Counter(WORD.findall((text or "").lower())).items():
-            for i in self[word]:
-                out[i] = out.get(i, 0) + n
-        t, n = np.fromiter(out, np.int64, len(out)), np.fromiter(out.values(), np.int64, len(out))
-        order = np.argsort(t)
-        return t[order], n[order]
+    def counts(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(terms in ascending order, how often each) of each text."""
+        words = [Counter((PLAIN if (x or "").isascii() else WORD).findall((x or "").lower())) for x in texts]
+        out = []
+        for own in words:
+            if new := [w for w in own if w not in self]:
+                self.learn(new if len(self) + len(new) <= KEPT else list(own))
+            found = [self[w] for w in own]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            t = np.concatenate(found) if found else np.zeros(0, np.int64)
+            n = np.repeat(np.fromiter(own.values(), np.int64, len(found)), sizes)
+            order = np.argsort(t)
+            t, n = t[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else t
+            out.append((t[first], np.add.reduceat(n, first) if len(t) else n))
+        return out
 
 
-def runs(begin: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(all places of the lists `which`, one after the other; the size of each), where list i is begin[i] to begin[i + 1]."""
-    first, n = begin[which], begin[which + 1] - begin[which]
-    return ranges(n) + np.repeat(first, n), n
+def runs(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All places of the lists from first to last (none is empty), one after the other."""
+    at = np.ones(int((last - first).sum()), np.int64)
+    if len(at):
+        at[0] = first[0]
+        at[np.cumsum(last - first)[:-1]] = first[1:] - last[:-1] + 1
+    return np.cumsum(at, out=at)
 
 
 class Index:
@@ -110,9 +125,9 @@ class Index:
         self.row_of = np.full(n_terms, -1, np.int32)
         self.row_of[frequent] = np.arange(len(frequent))
         example, row = np.repeat(np.arange(n, dtype=np.int32), np.diff(begin)), self.row_of[terms]
-        self.often = np.zeros((len(frequent), n), np.float32)
+        self.often = np.zeros((len(frequent), -(-n // BLOCK) * BLOCK), np.float32)  # whole blocks
         self.often[row[row >= 0], example[row >= 0]] = values[row >= 0]
-        self.bounds = np.maximum.reduceat(self.often, np.arange(0, n, BLOCK), axis=1) if n and len(frequent) else np.zeros((len(frequent), -(-n // BLOCK)), np.float32)
+        self.bounds = self.often.reshape(len(frequent), -(-n // BLOCK), BLOCK).max(axis=2) if len(frequent) else np.zeros((0, -(-n // BLOCK)), np.float32)
         rare = np.flatnonzero(row < 0)
         rare = rare[np.argsort(terms[rare], kind="stable")]
         self.ids, self.weights = example[rare], values[rare]
@@ -122,7 +137,6 @@ class Index:
     def ready(self) -> None:
         self.n = len(self.begin) - 1
         self.n_blocks = -(-self.n // BLOCK)
-        self.block_of = np.arange(self.n) // BLOCK
         self.dense = np.zeros(len(self.list_begin) - 1)
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[int, float]]:
@@ -132,8 +146,9 @@ class Index:
     def nearest_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[list[tuple[int, float]]]:
         """`nearest` of some queries (terms, weights).
 
-        Postings of a query's rarer terms are summed; the block maxima of the others bound what they can add. The best bounds
-        are scored in full. Where few examples' bounds reach the K-th best cosine, these are scored in full as well; the queries
+        Postings of a query's rarer terms are summed; the block maxima of the others bound what they can add. No weight is
+        below 0, so what is summed is itself a lower bound, and the k-th largest of the blocks' largest sums is one of the K-th best
+        cosine: blocks that cannot reach it are left. Where few examples can reach it, these are scored in full; the queries
         left take the product with all examples' weights of frequent terms. That is in single precision and only says who
         may be among the best (SLACK is far above its error): cosines and ties are those of the full vectors.
         """
@@ -141,30 +156,43 @@ class Index:
             return [[] for _ in queries]
         without = without or [-1] * len(queries)
         q = np.zeros((len(queries), len(self.often)), np.float32)
-        part = np.zeros((len(queries), self.n))
+        part = np.zeros((len(queries), self.n_blocks, BLOCK), np.float32)
+        flat = part.reshape(len(queries), -1)
         for i, (t, x) in enumerate(queries):
             row = self.row_of[t]
             q[i, row[row >= 0]] = x[row >= 0]
-            at, m = runs(self.list_begin, t[row < 0])
-            part[i] = np.bincount(self.ids[at], self.weights[at] * np.repeat(x[row < 0], m), self.n)
+            first, last = self.list_begin[t], self.list_begin[t + 1]
+            rare = last > first
+            first, last = first[rare], last[rare]
+            at = runs(first, last)
+            weights = self.weights.take(at, mode="clip")
+            weights *= np.repeat(x[rare].astype(weights.dtype), last - first)
+            flat[i] = np.bincount(self.ids.take(at, mode="clip"), weights, flat.shape[1])
+            flat[i, without[i]] *= without[i] < 0
         bound = q @ self.bounds
+        highest = part.max(axis=2)
         some: list[np.ndarray | None] = []
-        for i, (t, x) in enumerate(queries):
-            upper = part[i] + bound[i][self.block_of]
-            upper[without[i]] = 0.0 if without[i] >= 0 else upper[without[i]]
-            top = np.argpartition(-upper, k)[: k + 1] if self.n > k + 1 else np.arange(self.n)
-            known = self.full(top[upper[top] > 0], t, x)
-            least = np.partition(known, -k)[-k] if len(known) >= k else 0.0
-            able = np.flatnonzero((upper > 0) & (upper >= least - SLACK))
-            some.append(able if len(able) * 16 <= self.n or len(able) <= 16 * k else None)
+        for i in range(len(queries)):
+            least = self.kth(highest[i], k)
+            blocks = np.flatnonzero((highest[i] + bound[i] >= least - SLACK) & (highest[i] + bound[i] > 0))
+            rows = None
+            if len(blocks) * 4 <= self.n_blocks:
+                upper = part[i, blocks] + bound[i, blocks, None]
+                at, inside = np.nonzero((upper > 0) & (upper >= least - SLACK))
+                rows = blocks[at] * BLOCK + inside
+                rows = rows[rows < self.n]
+            some.append(rows if rows is not None and len(rows) <= 4 * k else None)
         left = [i for i, rows in enumerate(some) if rows is None]
         if left:
-            part[left] += q[left] @ self.often
-            for i in left:
-                own = part[i]
-                own[without[i]] = 0.0 if without[i] >= 0 else own[without[i]]
-                least = np.partition(own, -k)[-k] if self.n > k else 0.0
-                some[i] = np.flatnonzero((own > 0) & (own >= least - SLACK))
+            flat[left] += q[left] @ self.often
+            highest = part[left].max(axis=2)
+            for i, most in zip(left, highest):
+                own = flat[i]
+                if without[i] >= 0:
+                    own[without[i]] = 0.0
+                    most[without[i] // BLOCK] = part[i, without[i] // BLOCK].max()
+                rows = np.flatnonzero((own > 0) & (own >= self.kth(most, k) - SLACK))
+                some[i] = rows[own[rows] >= self.kth(own[rows], k) - SLACK]
         out = []
         for (t, x), rows, own in zip(queries, some, without):
             rows = rows[rows != own]
@@ -176,13 +204,19 @@ class Index:
             out.append(sorted(zip(rows.tolist(), scores.tolist()), key=lambda p: (-p[1], p[0])))
         return out
 
+    @staticmethod
+    def kth(values: np.ndarray, k: int) -> float:
+        """The k-th largest, 0 if there are fewer."""
+        return float(np.partition(values, -k)[-k]) if len(values) >= k else 0.0
+
     def full(self, rows: np.ndarray, t: np.ndarray, x: np.ndarray) -> np.ndarray:
         """The cosines of some examples with a query."""
         if not len(rows) or not len(t):
             return np.zeros(len(rows))
         self.dense[t] = x
-        at, m = runs(self.begin, rows)
-        got = np.add.reduceat(self.dense[self.terms[at]] * self.values[at], np.cumsum(m) - m)
+        first, last = self.begin[rows], self.begin[rows + 1]
+        at = runs(first, last)
+        got = np.add.reduceat(self.dense.take(self.terms.take(at)) * self.values.take(at), np.cumsum(last - first) - (last - first))
         self.dense[t] = 0.0
         return got
 
@@ -231,7 +265,7 @@ class Model:
         """(calibrated score, doc_ids of the five nearest examples) of each text."""
         out = []
         for a in range(0, len(texts), TOGETHER):
-            for near in self.index.nearest_all([self.vector(*terms.counts(x)) for x in texts[a : a + TOGETHER]], K):
+            for near in self.index.nearest_all([self.vector(*x) for x in terms.counts(texts[a : a + TOGETHER])], K):
                 got = float(np.interp(self.vote(near), self.xs, self.ys)) if len(self.xs) and near else self.vote(near) if near else self.bare
                 out.append((got, [int(self.ids[i]) for i, _ in near[:5]]))
         return out
@@ -288,7 +322,7 @@ def fit(df: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Shared:
         terms = Terms()
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = [terms.counts(t) for t in batch.column(1).to_pylist()]
+            got = terms.counts(batch.column(1).to_pylist())
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([t.tobytes() for t, _ in got], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in got], pa.binary())], names=["doc_id", "y", "terms", "n"])
 
         return each

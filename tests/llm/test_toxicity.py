@@ -26,6 +26,42 @@ def test_index_is_exact():
         assert {i for i, _ in got} == set(np.flatnonzero((want >= least - 1e-12) & (want > 0)).tolist())
 
 
+def test_few_examples_are_scored_in_full(monkeypatch):
+    """Queries like no example in particular: the best are found exactly, and hardly more than those are scored in full."""
+    r = np.random.default_rng(5)
+    n, n_terms, k = 4_000, 3_000, 15
+    share = np.concatenate([np.full(2, 0.3), np.full(n_terms - 2, 0.02)])
+    there = r.random((n, n_terms)) < share
+    dense = there * (r.random((n, n_terms)) + 0.5)
+    dense /= np.sqrt((dense**2).sum(axis=1))[:, None]
+    row, col = np.nonzero(dense)
+    index = tox.Index.of(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]), col.astype(np.int32), dense[row, col], n_terms)
+    own, scored = index.full, []
+    monkeypatch.setattr(index, "full", lambda rows, t, x: scored.append(len(rows)) or own(rows, t, x))
+    asked = list(range(0, n, 50))
+    for without in ([-1] * len(asked), asked):
+        scored.clear()
+        got = index.nearest_all([(np.flatnonzero(dense[i]), dense[i][dense[i] > 0]) for i in asked], k, without)
+        for i, w, near in zip(asked, without, got):
+            want = dense @ dense[i]
+            if w >= 0:
+                want[w] = 0
+            assert {e for e, _ in near} == set(np.flatnonzero(want >= np.sort(want)[-k] - 1e-12).tolist()) and all(abs(want[e] - s) < 1e-9 for e, s in near)
+        assert sum(scored) <= 4 * k * len(asked), sum(scored) / len(asked)
+
+
+def test_words_are_counted_alike_in_any_batch():
+    texts = [None, "", "Nasty NASTY nastily", "ça déjà vu_3 x9y", "日本 語 nasty", "..", "a b " * 50]
+    bare = tox.Terms()
+    want = [bare.counts([t])[0] for t in texts]
+    known = np.unique(np.concatenate([t for t, _ in want]))[::2]
+    for terms in (tox.Terms(), tox.Terms(known)):
+        for (t, n), (wt, wn) in zip(terms.counts(texts), want):
+            keep = np.isin(wt, known) if terms.known is not None else np.ones(len(wt), bool)
+            assert (terms.known[t] if terms.known is not None else t).tolist() == wt[keep].tolist() and n.tolist() == wn[keep].tolist()
+    assert dict(zip(*map(np.ndarray.tolist, want[2])))[int(np.frombuffer(tox.blake2b(b"nast*", digest_size=8).digest(), "<i8")[0])] == 3
+
+
 def test_isotonic_rises():
     x, y = tox.isotonic(np.array([0.1, 0.2, 0.3, 0.4, 0.5]), np.array([0, 1, 0, 1, 1.0]))
     assert (np.diff(x) > 0).all() and (np.diff(y) >= 0).all() and 0 < y[0] and y[-1] < 1
