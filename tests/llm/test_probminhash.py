@@ -107,3 +107,36 @@ def test_links_of_rows_without_an_id_and_of_repeated_ids(spark):
     apart = [c for c in got[7] if c != got[8][0]]
     assert got[8][0] in got[7] and len(apart) == 1 and len(got[None]) == 2 and len({*got[None], *got[7], 9}) == 5
     assert pm.classified(df.limit(0)).count() == 0
+
+
+def test_rounds_pass_on_the_members_outside_alone(spark, monkeypatch):
+    """One large group of few links, and groups that share its members: what all rounds write does not grow with their number, no pair is verified twice."""
+    ids = list(range(60))
+    members = spark.createDataFrame([(g, i) for g in range(1, 3) for i in ids if g == 1 or i % g], "grp long, id long")
+    own, written, pairs = linking.stored, {}, []
+
+    def stored(df, tag):
+        out = own(df, tag)
+        written[tag] = written.get(tag, 0) + out[1]
+        return out
+
+    def alike(some):
+        pairs.extend((r.a, r.b) for r in some.collect())
+        return some.where("a % 3 <> 0 AND pmod(a, 20) = pmod(b, 20)")
+
+    monkeypatch.setattr(linking, "stored", stored)
+    got = {r.id: r.root for r in linking.linked(members, alike).collect()}
+    parent = {i: i for i in ids}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in ids:
+        for j in ids[:i]:
+            if j % 3 and (j - i) % 20 == 0:
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    assert got == {i: root(i) for i in ids if any(root(j) == root(i) for j in ids if j != i)}
+    assert len(pairs) == len(set(pairs)) and written["rooted"] <= 2 * written["members"]
