@@ -21,8 +21,9 @@ import re
 import tempfile
 import uuid
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +86,18 @@ class Terms(dict):
         return out
 
 
+def pieces(n: int, most: int = 1 << 18) -> list[slice]:
+    return [slice(a, min(n, a + most)) for a in range(0, n, most)]
+
+
+def counted(terms: np.ndarray, n_terms: int) -> np.ndarray:
+    """How often each of n_terms is there."""
+    out = np.zeros(n_terms, np.int64)
+    for own in pieces(len(terms), max(1 << 18, n_terms)):
+        out += np.bincount(terms[own], minlength=n_terms)
+    return out
+
+
 def runs(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """All places of the lists from first to last (none is empty), one after the other."""
     at = np.ones(int((last - first).sum()), np.int64)
@@ -120,18 +133,23 @@ class Index:
 
     def build(self, begin: np.ndarray, terms: np.ndarray, values: np.ndarray, n_terms: int) -> None:
         self.begin, self.terms, self.values = begin, terms, values
-        n, df = len(begin) - 1, np.bincount(terms, minlength=n_terms)
+        n, df = len(begin) - 1, counted(terms, n_terms)
         frequent = np.flatnonzero(df * RARE > n)
         self.row_of = np.full(n_terms, -1, np.int32)
         self.row_of[frequent] = np.arange(len(frequent))
-        example, row = np.repeat(np.arange(n, dtype=np.int32), np.diff(begin)), self.row_of[terms]
         self.often = np.zeros((len(frequent), -(-n // BLOCK) * BLOCK), np.float32)  # whole blocks
-        self.often[row[row >= 0], example[row >= 0]] = values[row >= 0]
-        self.bounds = self.often.reshape(len(frequent), -(-n // BLOCK), BLOCK).max(axis=2) if len(frequent) else np.zeros((0, -(-n // BLOCK)), np.float32)
-        rare = np.flatnonzero(row < 0)
-        rare = rare[np.argsort(terms[rare], kind="stable")]
-        self.ids, self.weights = example[rare], values[rare]
         self.list_begin = np.concatenate([[0], np.cumsum(np.where(self.row_of < 0, df, 0))]).astype(np.int32)
+        self.ids, self.weights = np.empty(self.list_begin[-1], np.int32), np.empty(self.list_begin[-1], values.dtype)
+        after = self.list_begin[:-1].copy()
+        for i in range(n):  # one example at a time: nothing as long as all postings is held beside the lists themselves
+            own = slice(begin[i], begin[i + 1])
+            t, x = terms[own], values[own]
+            row = self.row_of[t]
+            self.often[row[row >= 0], i] = x[row >= 0]
+            t, x = t[row < 0], x[row < 0]
+            self.ids[after[t]], self.weights[after[t]] = i, x
+            after[t] += 1
+        self.bounds = self.often.reshape(len(frequent), -(-n // BLOCK), BLOCK).max(axis=2) if len(frequent) else np.zeros((0, -(-n // BLOCK)), np.float32)
         self.ready()
 
     def ready(self) -> None:
@@ -271,24 +289,30 @@ class Model:
         return out
 
 
-def learnt(rows: pa.Table) -> Model:
-    """The model, not calibrated yet, of (doc_id, y, terms, n)."""
-    order = np.lexsort((rows.column("doc_id").to_numpy(), rows.column("y").to_numpy()))
-    rows = rows.take(order).combine_chunks()
-    ids, y = rows.column("doc_id").to_numpy(), rows.column("y").to_numpy().astype(float)
-    sizes = np.array([len(x.as_buffer()) // 4 for chunk in rows.column("n").chunks for x in chunk], np.int64)
-    hashes, counts = (np.frombuffer(b"".join(x.as_buffer() for chunk in rows.column(c).chunks for x in chunk), t) for c, t in (("terms", np.int64), ("n", "<i4")))
+def learnt(batches: Iterable[pa.RecordBatch]) -> Model:
+    """The model, not calibrated yet, of (doc_id, y, terms, n). What is made of all postings is made part by part."""
+    rows = sorted((row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("y", "doc_id", "terms", "n")))), key=lambda row: row[:2])
+    ids, y = np.array([row[1] for row in rows], np.int64), np.array([row[0] for row in rows], float)
+    sizes = np.array([len(row[3]) // 4 for row in rows], np.int64)
+    counts = np.frombuffer(b"".join([row[3] for row in rows]), "<i4")
+    hashes = np.frombuffer(b"".join([row[2] for row in rows]), np.int64)
     del rows
     share = float(y.mean()) if len(y) else 0.0
     known = np.unique(hashes)
-    terms = np.searchsorted(known, hashes).astype(np.int32)
-    toxic = np.bincount(terms, np.repeat(y, sizes), len(known))
-    weight = weights(np.bincount(terms, minlength=len(known)).astype(float), toxic, len(y), int(y.sum()))
-    values = ((1 + np.log(counts)) * weight[terms]).astype(np.float32)
+    terms = np.empty(len(hashes), np.int32)
+    for own in pieces(len(hashes)):
+        terms[own] = np.searchsorted(known, hashes[own])
+    del hashes
+    toxic = counted(terms[int(sizes[y == 0].sum()) :], len(known)).astype(float)  # those come last
+    weight = weights(counted(terms, len(known)).astype(float), toxic, len(y), int(y.sum()))
+    values = np.empty(len(terms), np.float32)
+    for own in pieces(len(terms)):
+        values[own] = (1 + np.log(counts[own])) * weight[terms[own]]
+    del counts
     some = np.flatnonzero(sizes)
     begin = np.concatenate([[0], np.cumsum(sizes[some])])
-    norm = np.sqrt(np.add.reduceat(values.astype(float) ** 2, begin[:-1])) if len(some) else np.zeros(0)
-    values = (values / np.repeat(norm, sizes[some])).astype(np.float32)
+    for a, b in zip(begin.tolist(), begin[1:].tolist()):
+        values[a:b] = values[a:b] / np.sqrt(np.add.reduceat(values[a:b].astype(float) ** 2, [0]))
     bare = y[sizes == 0]
     return Model(known, weight, Index.of(begin, terms, values, len(known)), ids[some], y[some], share, float((bare.sum() + share) / (len(bare) + 1)) if len(y) else 0.0)
 
@@ -334,15 +358,15 @@ def fit(df: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Shared:
         folder = os.path.join(re.sub("^file:/*", "/", base), tag)
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if some := list(batches):
-                yield pa.RecordBatch.from_pylist([learnt(pa.Table.from_batches(some)).save(folder)])
+            if first := next(batches, None):
+                yield pa.RecordBatch.from_pylist([learnt(chain([first], batches)).save(folder)])
 
         found = rows.coalesce(1).mapInArrow(build, "share double, bare double, n long").first()
         share, bare, n = found if found else (0.0, 0.0, 0)
     else:  # each executor gets the files once
         folder = None
         here = os.path.join(tempfile.mkdtemp(prefix="toxicity-"), tag)
-        share, bare, n = learnt(rows.toArrow()).save(here).values()
+        share, bare, n = learnt(rows.toArrow().to_batches()).save(here).values()
         spark.sparkContext.addFile(here, recursive=True)
     small = Shared(folder, tag, share, bare, n)
     if n:

@@ -115,3 +115,24 @@ def test_a_model_that_is_not_seen_is_an_error():
     with pytest.raises(RuntimeError, match="not seen"):
         lost.open()
     assert tox.Shared(None, "tag", 0.5, 0.5, 0).open() is not None
+
+
+def test_the_model_is_built_in_little_memory():
+    """Beside the postings and the index, no arrays of the length of all postings are held together."""
+    import tracemalloc
+
+    r = np.random.default_rng(7)
+    n, size = 1_500, 600
+    batches = []
+    for a in range(0, n, 100):
+        terms = [np.sort(r.choice(200_000, size, replace=False).astype(np.int64)) for _ in range(100)]
+        batches.append(tox.pa.RecordBatch.from_arrays([tox.pa.array(range(a, a + 100), tox.pa.int64()), tox.pa.array([i % 2 for i in range(100)], tox.pa.int32()), tox.pa.array([t.tobytes() for t in terms], tox.pa.binary()), tox.pa.array([np.ones(size, "<i4").tobytes()] * 100, tox.pa.binary())], names=["doc_id", "y", "terms", "n"]))
+    tracemalloc.start()
+    try:
+        model = tox.learnt(iter(batches))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(model.index.ids) == n * size and peak < 40 * n * size, peak / (n * size)
+    t, x = model.index.terms[:size], model.index.values[:size]
+    assert model.labels[0] == 0 and abs(float((x.astype(float) ** 2).sum()) - 1) < 1e-5 and all(0 in model.index.ids[model.index.list_begin[i] : model.index.list_begin[i + 1]] for i in t[:5])
