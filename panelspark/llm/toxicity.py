@@ -18,27 +18,30 @@ from __future__ import annotations
 import math
 import os
 import re
+import shutil
 import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import arrow_map, documents, shared_dir, store
+from panelspark.llm.common import arrow_map, documents, local_path, shared_dir, store
 
 MAX_EXAMPLES, K, BLOCK, LEAN = 12_000, 15, 64, 0.25
 SURE, LIFT, BOOST, RARE, TOGETHER, SLACK = 16.0, 4.0, 15.0, 10, 64, 1e-5
 WORD, PLAIN = regex.compile(r"[^\W\d_]+"), re.compile("[a-z]+")  # the same for lower-cased ASCII
 STEMS = (4, 5, 6, 7, 8)
-KEPT = 300_000
+KEPT, PIECE = 300_000, 1 << 20
 
 
 def forms(word: str) -> list[str]:
@@ -317,6 +320,37 @@ def learnt(batches: Iterable[pa.RecordBatch]) -> Model:
     return Model(known, weight, Index.of(begin, terms, values, len(known)), ids[some], y[some], share, float((bare.sum() + share) / (len(bare) + 1)) if len(y) else 0.0)
 
 
+PIECES = "name string, piece binary, share double, bare double, n long"
+
+
+def in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The files of the learnt model, one after the other, in pieces of PIECE bytes."""
+    if first := next(batches, None):
+        with tempfile.TemporaryDirectory() as own:
+            numbers = learnt(chain([first], batches)).save(own)
+            for path in sorted(Path(own).iterdir()):
+                with path.open("rb") as f:
+                    while piece := f.read(PIECE):
+                        yield pa.RecordBatch.from_pylist([{"name": path.name, "piece": piece} | numbers])
+
+
+def unpacked(folder: str) -> str:
+    """A folder beside `folder` with the files whose pieces it holds; the first worker of a machine to have them all puts it there."""
+    out = f"{folder}-files"
+    if os.path.isdir(folder) and not os.path.isdir(out):
+        own = tempfile.mkdtemp(dir=os.path.dirname(folder))
+        for path in sorted(Path(folder).glob("*.parquet")):
+            for batch in pq.ParquetFile(path).iter_batches(16, columns=["name", "piece"]):
+                for name, piece in zip(*(c.to_pylist() for c in batch.columns)):
+                    with open(os.path.join(own, name), "ab") as f:
+                        f.write(piece)
+        try:
+            os.rename(own, out)
+        except OSError:  # another worker was first
+            shutil.rmtree(own)
+    return out
+
+
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators; one extra example of each label keeps scores off 0 and 1."""
     pools: list[list[float]] = []  # sum of x, sum of y, size
@@ -352,22 +386,22 @@ def fit(df: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Shared:
         return each
 
     rows = store(spark, arrow_map(examples, make, "doc_id long, y int, terms binary, n binary"), "terms")  # bounded by `most`
-    base = shared_dir(spark)
     tag = f"toxicity-{uuid.uuid4().hex}"
-    if base.startswith("file:"):  # a folder that workers can map: one task builds the model there
-        folder = os.path.join(re.sub("^file:/*", "/", base), tag)
+    path = f"{shared_dir(spark)}/{tag}"
+    folder = local_path(spark, path)
+    if folder:  # a folder that workers can map: one task builds the model there
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if first := next(batches, None):
                 yield pa.RecordBatch.from_pylist([learnt(chain([first], batches)).save(folder)])
 
         found = rows.coalesce(1).mapInArrow(build, "share double, bare double, n long").first()
-        share, bare, n = found if found else (0.0, 0.0, 0)
-    else:  # each executor gets the files once
-        folder = None
-        here = os.path.join(tempfile.mkdtemp(prefix="toxicity-"), tag)
-        share, bare, n = learnt(rows.toArrow().to_batches()).save(here).values()
-        spark.sparkContext.addFile(here, recursive=True)
+    else:  # Spark writes the model's files there, cut in pieces, and each executor gets them once
+        rows.coalesce(1).mapInArrow(in_pieces, PIECES).write.parquet(path)
+        found = spark.read.schema(PIECES).parquet(path).select("share", "bare", "n").first()
+        if found:
+            spark.sparkContext.addFile(path, recursive=True)
+    share, bare, n = found if found else (0.0, 0.0, 0)
     small = Shared(folder, tag, share, bare, n)
     if n:
 
@@ -395,7 +429,7 @@ class Shared:
         if not self.n:  # no example at all
             return Model(np.zeros(0, np.int64), np.zeros(0), Index([], 0), np.zeros(0, np.int64), np.zeros(0), self.share, self.bare)
 
-        folder = self.folder or SparkFiles.get(self.tag)
+        folder = self.folder or unpacked(SparkFiles.get(self.tag))
         if not os.path.exists(folder):
             raise RuntimeError(f"the model's folder {folder} is not seen from this machine: spark.checkpoint.dir must be shared by all")
 

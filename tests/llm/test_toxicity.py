@@ -136,3 +136,35 @@ def test_the_model_is_built_in_little_memory():
     assert len(model.index.ids) == n * size and peak < 40 * n * size, peak / (n * size)
     t, x = model.index.terms[:size], model.index.values[:size]
     assert model.labels[0] == 0 and abs(float((x.astype(float) ** 2).sum()) - 1) < 1e-5 and all(0 in model.index.ids[model.index.list_begin[i] : model.index.list_begin[i + 1]] for i in t[:5])
+
+
+CLUSTER = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+from panelspark.llm import common, toxicity as tox
+folders = {folders!r}
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.executor.memory", "700m").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.hadoop.fs.viewfs.mounttable.store.link./shared", "file://" + folders[0]).getOrCreate()
+docs = spark.createDataFrame([(i, f"word{{'abcdefg'[i % 7]}} plain text" + (" nasty" if i % 2 else "")) for i in range(200)], "doc_id long, text string")
+labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+for folder in folders:
+    common.shared_dir = tox.shared_dir = lambda spark: folder
+    got = tox.score_texts(docs, tox.fit(docs, labels)).collect()
+    assert len(got) == 200 and all(r.predicted == r.doc_id % 2 for r in got), folder
+    print(sorted((r.doc_id, r.score) for r in got))
+"""
+
+
+def test_the_model_reaches_executors_by_any_shared_folder(tmp_path):
+    """On a cluster: folders without a scheme, with file:, and of a store that only Spark reads."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = str(Path(__file__).resolve().parents[2])
+    script = CLUSTER.format(repo=repo, folders=[str(tmp_path), f"file://{tmp_path}", "viewfs://store/shared"])
+    done = subprocess.run([sys.executable, "-c", script], env=os.environ | {"PYTHONPATH": repo}, cwd=tmp_path, capture_output=True, text=True, timeout=400)
+    assert done.returncode == 0, done.stderr[-2000:]
+    scores = [line for line in done.stdout.splitlines() if line.startswith("[(")]
+    assert len(scores) == 3 and len(set(scores)) == 1
