@@ -106,7 +106,8 @@ def plan(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def pieces(placed: DataFrame, blocks: DataFrame) -> DataFrame:
     """Each document's parts by block: first and past-the-last word within the document, and how often they are taken."""
     inside = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("stop") - 1) / BLOCK))))
-    cut = inside.join(blocks, ["nth", "shard", "block"])
+    # Spark reckons blocks as small as the shards that they come from and would send all of them to all machines.
+    cut = inside.join(blocks.hint("merge"), ["nth", "shard", "block"])
     return cut.select("nth", "shard", "row", (F.greatest(F.col("start"), F.col("block") * BLOCK) - F.col("start")).alias("first"), (F.least(F.col("stop"), (F.col("block") + 1) * BLOCK) - F.col("start")).alias("past"), "times")
 
 

@@ -91,3 +91,11 @@ def test_mixed_texts(spark):
 
 def test_empty_table(empty):
     assert mx.mix(empty).count() == 0 and mx.mixed_texts(empty).count() == 0
+
+
+def test_blocks_are_not_broadcast(spark):
+    """The blocks grow with the words of all documents: no side of their join goes whole through the driver."""
+    df = spark.createDataFrame([row(i, prose(i, 300), "ab"[i % 2]) for i in range(20)], SCHEMA)
+    for out in (mx.mix(df), mx.pieces(*mx.plan(df))):
+        joins = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "block" in line.split("Inner")[0]]
+        assert joins and not any("Broadcast" in line for line in joins), joins
