@@ -156,7 +156,7 @@ def perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def purged_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = models.purged_cv(dataset(spark, sf_dir), FEATURES, "label", "pct", models.Params(), 3, 150, 30, keep=lambda df: _stored(spark, df, "fold"))
+    out = models.purged_cv(dataset(spark, sf_dir), FEATURES, "label", "pct", models.Params(), 3, 150, 30, 0.1, lambda df: _stored(spark, df, "fold"))
     return out.select("fold", "n", *[F.round(c, 6).alias(c) for c in ("spearman", "precision_top", "precision_bottom")])
 
 
